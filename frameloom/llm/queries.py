@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import mixing, tokencount, urlrules, warc
+from frameloom.llm import minhash, mixing, tokencount, urlrules, warc
 from frameloom.llm.shared import table
 
 #: The rule set that the URL query judges by: host, path, verdict.
@@ -20,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
     "op6_token_counts": op6_token_counts,
     "op9_url_filters": op9_url_filters,
