@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import minhash, mixing, tokencount, urlrules, warc
+from frameloom.llm import minhash, mixing, tokencount, toxicity, urlrules, warc
 from frameloom.llm.shared import table
 
 #: The rule set that the URL query judges by: host, path, verdict.
@@ -29,6 +29,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select(
+        "doc_id", "held_out", "score", "predicted", "n_tokens", F.size("passages").cast("long").alias("n_passages")
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,

@@ -19,6 +19,9 @@ BLOCK = 1 << 20
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of tokens made of ASCII letters, digits and anything beyond ASCII.
+_joined = np.zeros(256, bool)
+_joined[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 0x20
 _powers = _inverses = np.ones(1, U64)
@@ -76,9 +79,12 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, word offsets of documents) for words between white space."""
-    solid = ~_space[data]
+def word_spans(
+    data: np.ndarray, offs: np.ndarray, letters_only: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, word offsets of documents) for words between white space,
+    or between white space and ASCII punctuation."""
+    solid = _joined[data] if letters_only else ~_space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs[:-1]] = True
     starts = solid.copy()
