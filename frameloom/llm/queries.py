@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import minhash, mixing, tokencount, toxicity, urlrules, warc
+from frameloom.llm import minhash, mixing, quality, tokencount, toxicity, urlrules, warc
 from frameloom.llm.shared import table
 
 #: The rule set that the URL query judges by: host, path, verdict.
@@ -46,6 +46,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
