@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import minhash, mixing, quality, tokencount, toxicity, urlrules, warc
+from frameloom.llm import licenses, minhash, mixing, quality, tokencount, toxicity, urlrules, warc
 from frameloom.llm.shared import table
 
 #: The rule set that the URL query judges by: host, path, verdict.
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = toxicity.rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select(
@@ -67,6 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
+    "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
