@@ -1,9 +1,9 @@
 """Connected components of an edge table, as Spark joins.
 
-Large-star and small-star steps alternate until no edge changes. Each keeps
-the edges linear in number: every node is linked to the least neighbour it
-knows of. The steps aggregate before they join, so a node with many
-neighbours is a skewed join at most, which Spark splits.
+Every node hooks onto its least neighbour; both ends of each edge are replaced
+by what they hooked onto, loops and repeats fall away, and the rest goes
+around again until no edge is left. Then the hooks are followed back. Groups
+of near copies, mostly stars, take two or three turns.
 """
 
 from __future__ import annotations
@@ -14,38 +14,37 @@ from pyspark.sql import functions as F
 from frameloom.llm.shared import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours to the least node of each neighbourhood."""
-    if large:
-        seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # Written first: a join of two plain tables is one that Spark can split.
-    least = written(seen.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-    if large:
-        linked = seen.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        linked = (
-            seen.join(least, "u")
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-            .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        )
-    return linked.where("u <> v").distinct()
-
-
 def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v long); the component
-    is its least node. Loops and repeated edges are harmless; nulls are left out.
+    is its least node. Loops and repeated edges are harmless; edges with a null
+    end are left out.
+
+    A hook stays inside its component, and the least node hooks onto itself, so
+    replacing ends by hooks keeps components apart and connected. All tables
+    are written before they are joined: where one node has very many edges, the
+    join is one of plain tables, whose skew Spark splits.
     """
-    at = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
+    left = edges.select("u", "v").where("u <> v")
+    hooks = []
     for _ in range(most_rounds):
-        at = written(_star(_star(at, True), False), "edges")
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = written(ends.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("onto")), "hooks")
+        hooks.append(hook)
+        u, v = hook.toDF("u", "hu"), hook.toDF("v", "hv")
+        left = written(
+            left.join(u, "u").join(v, "v").where("hu <> hv").select(F.greatest("hu", "hv").alias("u"), F.least("hu", "hv").alias("v")).distinct(),
+            "edges",
+        )
+        if left.isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return roots.unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = hooks.pop().toDF("node", "component")
+    for hook in reversed(hooks):
+        found = written(
+            hook.join(found.toDF("onto", "component"), "onto", "left").select(
+                "node", F.coalesce("component", "onto").alias("component")
+            ),
+            "components",
+        )
+    return found

@@ -6,10 +6,10 @@ permutations make all coordinates. Bands of coordinates propose links; every
 link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Documents with equal shingle sets are one class from the start. Inside a band
-bucket not all pairs are made: a round links members to one centre, components
-are contracted, and only members that are still outside their bucket's largest
-component are compared with the rest of it. So no link that the bands propose
-is lost, however large a group of copies is.
+bucket not all pairs are made: members are compared with one centre, and after
+that only those still outside their bucket's largest component with the rest of
+the bucket. So no link that the bands propose is lost, and a group of thousands
+of copies costs little more than its members.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set and no links. Ids must be distinct and not null for components to mean
@@ -172,39 +172,37 @@ def near_duplicates(
         )
         return written(both.mapInArrow(_confirmed(words, percent), "u long, v long"), label)
 
-    # Round 1: each document against the least centre of its buckets.
-    first = buckets.groupBy(F.col("rep").alias("u")).agg(F.min("centre").alias("v")).where("u <> v")
-    links = confirm(first, "links")
-    tried = first
-    # Round 2: against the other centres; round 3: whoever is still outside the
-    # largest component of a bucket against all of that bucket.
-    for last in (False, True):
-        labels = components(links)
-        placed = written(
-            buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep")
-            ),
-            "placed",
-        )
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-        split = (
-            parts.groupBy("key")
-            .agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("largest"))
-            .where("n > 1")
-            .select("key", F.col("largest.component").alias("largest"))
-        )
-        open_ = written(placed.join(written(split, "split"), "key"), "open")
-        if last:
-            a = open_.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            b = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = a.join(b, "key").where("ca <> cb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        else:
-            pairs = open_.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+    # Each member of a bucket against its centre: at most one pair for each band.
+    tried = written(
+        buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs"
+    )
+    links = confirm(tried, "links")
+    labels = components(links)
+    placed = buckets.join(labels.toDF("rep", "component"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    placed = written(placed, "placed")
+    # Whoever is now outside the largest component of a bucket is compared with
+    # all others there: those are all the proposed links that are still open.
+    split = written(
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("size"))
+        .groupBy("key")
+        .agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("largest"))
+        .where("n > 1")
+        .select("key", F.col("largest.component").alias("largest")),
+        "split",
+    )
+    if not split.isEmpty():
+        open_ = written(placed.join(split, "key"), "open")
+        a = open_.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
+        b = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
+        pairs = a.join(b, "key").where("ca <> cb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        links = written(links.unionByName(confirm(pairs, "links")), "links")
-        tried = tried.unionByName(pairs)
+        more = confirm(pairs, "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
-    labels = components(links)
     by_rep = same.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = by_rep.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (
