@@ -7,9 +7,10 @@ link is confirmed by the exact Jaccard similarity of the full shingle sets.
 
 Documents with equal shingle sets are one class from the start. Inside a band
 bucket not all pairs are made: members are compared with one centre, and after
-that only those still outside their bucket's largest component with the rest of
-the bucket. So no link that the bands propose is lost, and a group of thousands
-of copies costs little more than its members.
+that only those still outside their bucket's largest component, with documents
+that share one of their rarest shingles (an exact prefix filter). So no link
+that the bands propose is lost, and a group of thousands of copies costs little
+more than its members.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set and no links. Ids must be distinct and not null for components to mean
@@ -34,6 +35,8 @@ from frameloom.llm.shared import written
 U32 = np.uint32
 #: 32 bands of 5: at similarity 0.8 three links in a million are not proposed.
 BANDS, ROWS = 32, 5
+#: Slots of the sketch of element counts: a broadcast of 8 MB at any scale.
+SKETCH = 1 << 20
 
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -129,6 +132,45 @@ def _confirmed(k: int, percent: int):
     return run
 
 
+def _counted(k: int):
+    """How often elements fall into each slot of a sketch of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), k):
+                np.add.at(total, (s % tn.U64(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, counts: np.ndarray):
+    """The first elements of each set in a global order, rare ones first.
+
+    Of n elements a similar set has at least percent * n / 100, so one of any
+    n - that + 1; any order does that all sets share, and one by rarity leaves
+    what many copies have in common at the end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for s in shingle_sets(batch.column(4), k):
+                order = np.lexsort((s, counts[(s % tn.U64(SKETCH)).astype(np.int64)]))
+                keys.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]])
+            n = [len(x) for x in keys]
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), *(batch.column(i).take(at) for i in range(4))],
+                names=["key", "rep", "n_shingles", "component", "outside"],
+            )
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -182,8 +224,9 @@ def near_duplicates(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     placed = written(placed, "placed")
-    # Whoever is now outside the largest component of a bucket is compared with
-    # all others there: those are all the proposed links that are still open.
+    # Whoever is now outside the largest component of a bucket has proposed links
+    # that are still open. All documents of such buckets meet by prefix: of two
+    # sets as similar as asked, the rarest elements of each have one in common.
     split = written(
         placed.groupBy("key", "component")
         .agg(F.count("*").alias("size"))
@@ -194,10 +237,36 @@ def near_duplicates(
         "split",
     )
     if not split.isEmpty():
-        open_ = written(placed.join(split, "key"), "open")
-        a = open_.where("component <> largest").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        b = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = a.join(b, "key").where("ca <> cb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        open_ = written(
+            placed.join(split, "key")
+            .groupBy("rep", "component")
+            .agg(F.max(F.col("component") != F.col("largest")).alias("outside")),
+            "open",
+        )
+        # Text last: only documents of such buckets are read again.
+        open_texts = written(
+            texts.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id").select(
+                "doc_id", "n_shingles", "component", "outside", "text"
+            ),
+            "open-texts",
+        )
+        held = open_texts.select("text").mapInArrow(_counted(words), "slot int, n long")
+        counts = np.zeros(SKETCH, np.int64)
+        for part in held.groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
+        heads = written(
+            open_texts.mapInArrow(
+                _prefixes(words, percent, counts), "key long, rep long, n_shingles long, component long, outside boolean"
+            ),
+            "prefixes",
+        )
+        a = heads.where("outside").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
+        b = heads.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+        pairs = (
+            a.join(b, "key")
+            .where((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        )
         pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         more = confirm(pairs, "links")
         if not more.isEmpty():
