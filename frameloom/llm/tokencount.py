@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import scratch_path
+from frameloom.llm.shared import scratch_path, written
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -138,12 +138,14 @@ def count_tokens(
     misses.mapInPandas(_encode(tokenizer_path, ranks_path, version), CACHE).write.mode("append").parquet(cache_path)
 
     # Two runs at once may append the same miss twice; both counts are equal.
-    counts = (
+    # Written, so that the join below is one of plain tables, whose skew Spark splits.
+    counts = written(
         spark.read.schema(CACHE)
         .parquet(cache_path)
         .where(F.col("tokenizer") == version)
         .groupBy("content")
-        .agg(F.max("n_tokens").alias("n_tokens"))
+        .agg(F.max("n_tokens").alias("n_tokens")),
+        "token-counts",
     )
     return (
         keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
