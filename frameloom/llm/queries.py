@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import licenses, minhash, mixing, quality, tokencount, toxicity, urlrules, warc
+from frameloom.llm import decontaminate, licenses, minhash, mixing, quality, suffixdedup, tokencount, toxicity, urlrules, warc
 from frameloom.llm.shared import table
 
 #: The rule set that the URL query judges by: host, path, verdict.
@@ -40,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +61,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"), threshold=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -73,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
@@ -125,3 +138,34 @@ SELECT page_id, payload_bytes, payload_digest,
        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
 FROM kept
 """
+
+#: Any 13 aligned tokens with at most 2 that differ have 4 in a row that agree,
+#: so this meets on those, and takes no part of the spaced seeds.
+SQL["op5_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t
+  FROM benchmark
+), di AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d
+), bj AS (
+  SELECT item_id, t, unnest(range(1, len(t) - 2)) AS j FROM b
+), hit AS (
+  SELECT DISTINCT di.doc_id, bj.item_id, di.i - bj.j AS shift
+  FROM di JOIN bj ON array_to_string(di.w[di.i:di.i+3], ' ') = array_to_string(bj.t[bj.j:bj.j+3], ' ')
+), near AS (
+  SELECT hit.doc_id, hit.item_id, hit.shift, unnest(range(1, len(b.t) - 11)) AS s, d.w, b.t
+  FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)
+), good AS (
+  SELECT DISTINCT doc_id, item_id, shift FROM near
+  WHERE s + shift >= 1 AND s + shift + 12 <= len(w)
+    AND list_sum(list_transform(range(0, 13), lambda k: (w[s + shift + k] = t[s + k])::int)) >= 11
+), per AS (
+  SELECT doc_id, count(*) AS n_overlaps, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS item_ids FROM good GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_overlaps, 0) AS n_overlaps, coalesce(item_ids, '') AS item_ids,
+       coalesce(n_overlaps, 0) > 0 AS contaminated
+FROM documents LEFT JOIN per USING (doc_id)
+"""
