@@ -35,8 +35,10 @@ from frameloom.llm.shared import written
 U32 = np.uint32
 #: 32 bands of 5: at similarity 0.8 three links in a million are not proposed.
 BANDS, ROWS = 32, 5
-#: Slots of the sketch of element counts: a broadcast of 8 MB at any scale.
-SKETCH = 1 << 20
+#: Draws of a centre that the bands take in turn.
+CENTRES = 16
+#: Slots of the sketch of element counts: a broadcast of 2 MB at any scale.
+SKETCH = 1 << 18
 
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -163,9 +165,10 @@ def _prefixes(k: int, percent: int, counts: np.ndarray):
             n = [len(x) for x in keys]
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             at = pa.array(np.repeat(np.arange(len(n)), n))
+            nth = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if n else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), *(batch.column(i).take(at) for i in range(4))],
-                names=["key", "rep", "n_shingles", "component", "outside"],
+                [pa.array(flat), pa.array(nth), *(batch.column(i).take(at) for i in range(4))],
+                names=["key", "nth", "rep", "n_shingles", "component", "outside"],
             )
 
     return run
@@ -193,9 +196,13 @@ def near_duplicates(
     same = written(full.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep", "n_shingles", "bands"), "classes")
     reps = same.where("doc_id = rep").dropDuplicates(["rep"])
 
-    keyed = reps.select(F.explode("bands").alias("key"), "rep", "n_shingles")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1")
-    shared = written(shared.select("key", "centre"), "shared")
+    # A bucket's centre is drawn by hash, with another draw in each of sixteen bands,
+    # so that members of a large group try several documents, and not one outlier.
+    keyed = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n_shingles")
+    draw = F.struct(F.xxhash64(F.col("band") % CENTRES, "rep"), "rep")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("drawn")).where("n > 1")
+    shared = shared.select("key", F.col("drawn.rep").alias("centre"))
+    shared = written(shared, "shared")
     buckets = written(keyed.join(shared, "key").select("key", "centre", "rep", "n_shingles"), "buckets")
     sizes = buckets.select("rep", "n_shingles").distinct()
     texts = written(own.join(sizes.withColumnRenamed("rep", "doc_id"), "doc_id"), "candidates")
@@ -216,7 +223,9 @@ def near_duplicates(
 
     # Each member of a bucket against its centre: at most one pair for each band.
     tried = written(
-        buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs"
+        buckets.where("rep <> centre")
+        .select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v"))
+        .distinct(), "pairs"
     )
     links = confirm(tried, "links")
     labels = components(links)
@@ -256,15 +265,20 @@ def near_duplicates(
             counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
         heads = written(
             open_texts.mapInArrow(
-                _prefixes(words, percent, counts), "key long, rep long, n_shingles long, component long, outside boolean"
+                _prefixes(words, percent, counts), "key long, nth int, rep long, n_shingles long, component long, outside boolean"
             ),
             "prefixes",
         )
-        a = heads.where("outside").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-        b = heads.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+        names = ("nth", "rep", "n_shingles", "component")
+        a = heads.where("outside").select("key", *[F.col(x).alias(f"a_{x}") for x in names])
+        b = heads.select("key", *[F.col(x).alias(f"b_{x}") for x in names])
+        # At the first element in common, no more than what follows can be shared.
+        most = F.least(F.col("a_n_shingles") - F.col("a_nth"), F.col("b_n_shingles") - F.col("b_nth"))
+        needed = F.lit(percent) * (F.col("a_n_shingles") + F.col("b_n_shingles"))
         pairs = (
             a.join(b, "key")
-            .where((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+            .where((F.col("a_component") != F.col("b_component")) & ((100 + percent) * most >= needed))
+            .select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         )
         pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
