@@ -1,15 +1,85 @@
-"""A corpus pipeline; its stages come as their operators do."""
+"""A corpus pipeline of five stages, each one operator of ``frameloom.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's ``docs``. All but the last
+return the columns of ``documents``:
+
+1. toxicity: documents whose calibrated score says toxic go.
+2. minhash: of each group of near copies the document with the least id stays.
+3. suffix_dedup: passages that an earlier document holds too are cut out.
+4. decontamination: documents that hold a benchmark passage go.
+5. mixing: how many words to take from each document that is left.
+
+Rows with a null id are kept where they can't be joined to a decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frameloom.llm import decontaminate, minhash, mixing, suffixdedup, toxicity
+from frameloom.llm.shared import scratch_path, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id ``gone`` lists."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rated = toxicity.rate_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, rated.where("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    return _without(docs, found.where("not kept"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages; the shortest that counts is 50 bytes, as for
+    ``op8``. Text keeps whole characters only, and n_chars follows it."""
+    cut = suffixdedup.dedup_substrings(docs, threshold=50).where("n_removed > 0").select("doc_id", "kept_text")
+    return docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("kept_text", "text").alias("text"),
+        "lang",
+        "source",
+        F.when(F.col("kept_text").isNull(), F.col("n_chars"))
+        .otherwise(F.length("kept_text").cast("long"))
+        .alias("n_chars"),
+    )
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 
-STAGES: list = []
+#: Learned scores and prefix doubling are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

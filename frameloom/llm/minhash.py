@@ -35,8 +35,11 @@ from frameloom.llm.shared import written
 U32 = np.uint32
 #: 32 bands of 5: at similarity 0.8 three links in a million are not proposed.
 BANDS, ROWS = 32, 5
+#: 256 bits: the parity of how many elements of a set fall on each.
+PARITIES = ("p0", "p1", "p2", "p3")
+PARITY_COLUMNS = ", ".join(f"{x} long" for x in PARITIES)
 #: Draws of a centre that the bands take in turn.
-CENTRES = 16
+CENTRES = 8
 #: Slots of the sketch of element counts: a broadcast of 2 MB at any scale.
 SKETCH = 1 << 18
 
@@ -158,17 +161,26 @@ def _prefixes(k: int, percent: int, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, parities = [], []
             for s in shingle_sets(batch.column(4), k):
+                bit = (s >> tn.U64(20)) % tn.U64(64 * len(PARITIES))
+                odd = np.bincount(bit.astype(np.int64), minlength=64 * len(PARITIES)) & 1
+                parities.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(tn.U64))
                 order = np.lexsort((s, counts[(s % tn.U64(SKETCH)).astype(np.int64)]))
                 keys.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]])
             n = [len(x) for x in keys]
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             at = pa.array(np.repeat(np.arange(len(n)), n))
+            parity = np.array(parities, tn.U64).reshape(-1, len(PARITIES)).view(np.int64)
             nth = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if n else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), pa.array(nth), *(batch.column(i).take(at) for i in range(4))],
-                names=["key", "nth", "rep", "n_shingles", "component", "outside"],
+                [
+                    pa.array(flat),
+                    pa.array(nth),
+                    *(pa.array(x).take(at) for x in parity.T),
+                    *(batch.column(i).take(at) for i in range(4)),
+                ],
+                names=["key", "nth", *PARITIES, "rep", "n_shingles", "component", "outside"],
             )
 
     return run
@@ -196,7 +208,7 @@ def near_duplicates(
     same = written(full.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep", "n_shingles", "bands"), "classes")
     reps = same.where("doc_id = rep").dropDuplicates(["rep"])
 
-    # A bucket's centre is drawn by hash, with another draw in each of sixteen bands,
+    # A bucket's centre is drawn by hash, with another draw in each of eight bands,
     # so that members of a large group try several documents, and not one outlier.
     keyed = reps.select(F.posexplode("bands").alias("band", "key"), "rep", "n_shingles")
     draw = F.struct(F.xxhash64(F.col("band") % CENTRES, "rep"), "rep")
@@ -265,19 +277,25 @@ def near_duplicates(
             counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
         heads = written(
             open_texts.mapInArrow(
-                _prefixes(words, percent, counts), "key long, nth int, rep long, n_shingles long, component long, outside boolean"
+                _prefixes(words, percent, counts), f"key long, nth int, {PARITY_COLUMNS}, rep long, n_shingles long, component long, outside boolean"
             ),
             "prefixes",
         )
-        names = ("nth", "rep", "n_shingles", "component")
+        names = ("nth", *PARITIES, "rep", "n_shingles", "component")
         a = heads.where("outside").select("key", *[F.col(x).alias(f"a_{x}") for x in names])
         b = heads.select("key", *[F.col(x).alias(f"b_{x}") for x in names])
         # At the first element in common, no more than what follows can be shared.
         most = F.least(F.col("a_n_shingles") - F.col("a_nth"), F.col("b_n_shingles") - F.col("b_nth"))
-        needed = F.lit(percent) * (F.col("a_n_shingles") + F.col("b_n_shingles"))
+        both = F.col("a_n_shingles") + F.col("b_n_shingles")
+        # Each bit in which parities differ is an element that only one set has.
+        differ = sum(F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in PARITIES)
         pairs = (
             a.join(b, "key")
-            .where((F.col("a_component") != F.col("b_component")) & ((100 + percent) * most >= needed))
+            .where(
+                (F.col("a_component") != F.col("b_component"))
+                & ((100 + percent) * most >= percent * both)
+                & ((100 + percent) * differ <= (100 - percent) * both)
+            )
             .select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         )
