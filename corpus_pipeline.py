@@ -41,16 +41,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages; the shortest that counts is 50 bytes, as for
-    ``op8``. Text keeps whole characters only, and n_chars follows it."""
-    cut = suffixdedup.dedup_substrings(docs, threshold=50).where("n_removed > 0").select("doc_id", "kept_text")
-    return docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").select(
+    ``op8``. Text keeps whole characters only, n_chars follows it, and a null
+    text comes out empty."""
+    cut = suffixdedup.dedup_substrings(docs, threshold=50, carry=("lang", "source", "n_chars"))
+    same = F.col("n_removed") == 0
+    return cut.select(
         "doc_id",
-        F.coalesce("kept_text", "text").alias("text"),
-        "lang",
-        "source",
-        F.when(F.col("kept_text").isNull(), F.col("n_chars"))
-        .otherwise(F.length("kept_text").cast("long"))
-        .alias("n_chars"),
+        F.col("kept_text").alias("text"),
+        "carried.lang",
+        "carried.source",
+        F.when(same, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"),
     )
 
 

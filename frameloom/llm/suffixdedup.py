@@ -256,13 +256,16 @@ def _rank_anchors(threshold: int):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, for the shuffles that move them."""
+    """Texts as compressed bytes, for the shuffles that move them; the columns
+    (doc, text, carried) become (doc, packed, carried)."""
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         data, offs = tn.utf8(batch.column(1))
         raw = memoryview(data)
         packed = [z.compress(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc", "packed", "carried"]
+        )
 
 
 def _unpacked(value: bytes) -> bytes:
@@ -319,7 +322,7 @@ def _rank_windows(threshold: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text: (doc, packed, starts, stops) to spans and bytes."""
+    """(doc, packed, spans, carried) to what is left of each text."""
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
@@ -354,8 +357,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digest, pa.string()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 pa.array(left, pa.string()),
+                batch.column(3),
             ],
-            names=["doc", "n_bytes", "n_removed", "kept_sha256", "spans", "kept_text"],
+            names=["doc", "n_bytes", "n_removed", "kept_sha256", "spans", "kept_text", "carried"],
         )
 
 
@@ -374,7 +378,7 @@ def _clean(text: bytes, starts: list[int], stops: list[int]) -> str:
 
 
 def _numbered(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, text), where ``doc`` orders documents as their ids do, and (doc,
+    """(doc, text, carried), where ``doc`` orders documents as their ids do, and (doc,
     doc_id) unless both are the same.
 
     ``doc`` is the id itself if ids are distinct and not null, else a number
@@ -389,27 +393,38 @@ def _numbered(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     numbers = written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbers")
     o, m = own.alias("o"), numbers.alias("m")
     same = F.col("o.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("o.h") == F.col("m.h"))
-    return o.join(m, same).select("m.doc", "o.text"), numbers.select("doc", "doc_id")
+    return o.join(m, same).select("m.doc", "o.text", "o.carried"), numbers.select("doc", "doc_id")
 
 
 def dedup_substrings(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = 50
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    threshold: int = 50,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
-    the removed spans (byte ranges) and the kept text.
+    the removed spans (byte ranges), the kept text, and ``carried``, a struct of
+    the columns named in ``carry``.
 
     ``kept_text`` leaves out only whole characters of a span, so that it stays
     valid text; the digest is of exactly the bytes that no span covers.
     """
     if not 2 * SEED <= threshold <= 255:
         raise ValueError(f"threshold must be from {2 * SEED} to 255 bytes")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"),
+    )
     texts, numbers = _numbered(own)
 
-    named = texts.mapInArrow(_anchor_rows(threshold), ROWS).repartition("name").sortWithinPartitions("name")
+    named = texts.select("doc", "text").mapInArrow(_anchor_rows(threshold), ROWS).repartition("name").sortWithinPartitions("name")
     spans = written(named.mapInArrow(_rank_anchors(threshold), SPANS), "anchor-spans")
 
-    packed = texts.select("doc", "text").mapInArrow(_packed, "doc long, packed binary")
+    kind = texts.schema["carried"].dataType.simpleString()
+    packed = texts.select("doc", "text", "carried").mapInArrow(_packed, f"doc long, packed binary, carried {kind}")
     place = F.col("start") * 256 + (F.col("stop") - F.col("start") - threshold + 1)
     open_ = spans.where("open").groupBy("doc").agg(F.collect_list(place).alias("places"))
     windows = packed.join(open_, "doc").select("doc", "packed", "places").mapInArrow(_window_rows(threshold), ROWS)
@@ -420,11 +435,11 @@ def dedup_substrings(
     by_doc = all_spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = (
         packed.join(by_doc, "doc", "left")
-        .select("doc", "packed", "spans")
+        .select("doc", "packed", "spans", "carried")
         .mapInArrow(
             _cut,
             "doc long, n_bytes long, n_removed long, kept_sha256 string, "
-            "spans array<struct<start: long, stop: long>>, kept_text string",
+            f"spans array<struct<start: long, stop: long>>, kept_text string, carried {kind}",
         )
     )
     cut = cut.withColumn("n_spans", F.size("spans").cast("long"))
