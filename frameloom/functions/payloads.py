@@ -14,12 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed values of the payload header: element types in code order with their
-#: sizes, media types, the magic, the version, the largest rank and the length.
+#: Fixed values of payload descriptors: element types in code order with their
+#: sizes, media types, the largest rank.
 ELEMENT_TYPES = ("u8", "i8", "u16", "i16", "u32", "i32", "u64", "i64", "f16", "bf16", "f32", "f64")
 ELEMENT_SIZES = (1, 1, 2, 2, 4, 4, 8, 8, 2, 2, 4, 8)
 MEDIA_TYPES = ("blob", "tensor", "image", "json")
 MAX_RANK = 8
+#: How a packed header begins.
+MAGIC = b"FLP1"
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,11 +38,11 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sums(payload: pa.Array) -> np.ndarray:
     """Exact sum of the bytes of each value."""
     data, offs = _flat(payload)
-    if not len(data):
-        return np.zeros(len(offs) - 1, np.int64)
-    first = np.minimum(offs[:-1], len(data) - 1)
-    sums = np.add.reduceat(data, first, dtype=np.int64)
-    return np.where(np.diff(offs) > 0, sums, 0)
+    filled = np.diff(offs) > 0
+    sums = np.zeros(len(offs) - 1, np.int64)
+    if len(data):
+        sums[filled] = np.add.reduceat(data, offs[:-1][filled], dtype=np.int64)
+    return sums
 
 
 @F.arrow_udf(T.LongType())
@@ -100,14 +102,14 @@ def pack_header(media: str, element: str, shape: list[int], epoch: int) -> bytes
         step *= d
     pad = [0] * (MAX_RANK - len(shape))
     head = struct.pack(
-        "<4sHBBIIqq", b"MVF1", 1, MEDIA_TYPES.index(media), ELEMENT_TYPES.index(element), len(shape), 0, epoch, step
+        "<4sHBBIIqq", MAGIC, 1, MEDIA_TYPES.index(media), ELEMENT_TYPES.index(element), len(shape), 0, epoch, step
     )
     return (head + struct.pack("<16q", *shape, *pad, *steps, *pad)).ljust(192, b"\0")
 
 
 def unpack_header(header: bytes) -> dict | None:
     """The fields of a header, or None if it is not a valid one."""
-    if len(header) < 192 or header[:4] != b"MVF1":
+    if len(header) < 192 or header[:4] != MAGIC:
         return None
     _, version, media, element, rank, _, epoch, length = struct.unpack_from("<4sHBBIIqq", header)
     if version != 1 or media >= len(MEDIA_TYPES) or element >= len(ELEMENT_TYPES) or rank > MAX_RANK:

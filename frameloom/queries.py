@@ -459,7 +459,8 @@ def brightness_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("inspection_demo", D + f"SELECT {LABELS}, (count(*) // 2)::BIGINT AS sampled FROM m WHERE cycle_index < 900")
+@query("inspection_demo", D + f"SELECT {LABELS}, (count(*) // 2)::BIGINT AS sampled "
+    "FROM (SELECT m.*, m.cycle_index + p.range * count(*) OVER (PARTITION BY p.range) AS c FROM m, range(0, 5) p) WHERE c < 900")
 def inspection_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = compile_graph(demos.INSPECTION, {"cam": _documents(spark, sf_dir)}, cycles=900).frame
     return _sink_counts(wide, {"black": "route__black", "ok": "route__ok", "sampled": "sample__even"})
