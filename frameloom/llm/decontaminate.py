@@ -37,13 +37,19 @@ def tokens(text: Column) -> Column:
 
 def seeded(df: DataFrame, words: str, place: str) -> DataFrame:
     """A row for each window of ``words`` and each mask: ``place`` and ``seed``."""
-    at = F.explode(F.sequence(F.lit(0), F.size(words) - SPAN))
+    n = F.size(words)
+    at = F.explode(F.when(n >= LENGTH, F.sequence(F.lit(0), n - SPAN)))
     hashes = [
-        F.xxhash64(F.lit(n), *[F.get(words, F.col(place) + i) for i, c in enumerate(mask) if c == "1"])
-        for n, mask in enumerate(MASKS)
+        F.xxhash64(F.lit(k), *[F.get(words, F.col(place) + i) for i, c in enumerate(mask) if c == "1"])
+        for k, mask in enumerate(MASKS)
     ]
-    long_enough = df.where(F.size(words) >= LENGTH)
-    return long_enough.withColumn(place, at).withColumn("seed", F.explode(F.array(*hashes)))
+    return df.withColumn(place, at).withColumn("seed", F.explode(F.array(*hashes)))
+
+
+def _around(words: str, at: str) -> Column:
+    """The tokens that an overlap with a hit at ``at`` can reach."""
+    first = F.greatest(F.col(at) - (LENGTH - SPAN), F.lit(0))
+    return F.slice(F.col(words), first + 1, 2 * LENGTH - SPAN)
 
 
 def overlaps(w: Column, b: Column, i: Column, j: Column) -> Column:
@@ -54,9 +60,8 @@ def overlaps(w: Column, b: Column, i: Column, j: Column) -> Column:
         F.sequence(-back, ahead - 1), lambda k: (F.get(w, i + k) == F.get(b, j + k)).cast("int")
     )
     width = back + ahead
-    windows = F.sequence(F.lit(1), width - LENGTH + 1)
     enough = F.exists(
-        windows,
+        F.sequence(F.lit(1), width - LENGTH + 1),
         lambda s: F.aggregate(F.slice(same, s, F.lit(LENGTH)), F.lit(0), lambda n, x: n + x) >= LENGTH - SUBSTITUTIONS,
     )
     return F.when(width >= LENGTH, enough).otherwise(False)
@@ -93,7 +98,16 @@ def find_overlaps(
             .drop("hit")
             .join(items, "item_id")
         )
-    verified = met.where(overlaps(F.col("w"), F.col("b"), F.col("i"), F.col("j")))
+    # Verification must stay above the join and the cutting out of words. As the
+    # join's condition it would keep the join out of the generated loop over
+    # windows, and rows of all windows with all words would pile up before it; a
+    # column of ids that it reads is what Spark won't push it past.
+    near = met.select(
+        "doc_id", "item_id", "i", "j", _around("w", "i").alias("w"), _around("b", "j").alias("b"),
+        F.monotonically_increasing_id().alias("hit"),
+    )
+    inside = [F.least(F.col(x), F.lit(LENGTH - SPAN)) for x in "ij"]
+    verified = near.where((F.col("hit") >= 0) & overlaps(F.col("w"), F.col("b"), *inside))
     return verified.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
 
 
