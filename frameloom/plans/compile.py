@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.functions.images import decoded_mean
 from frameloom.operators import ports as op
 from frameloom.operators import sinks
 from frameloom.plans.binding import LiveValues, Store, bind
@@ -27,10 +28,10 @@ Module = Callable[[Column, dict[str, Any]], Column]
 PROCESSORS: dict[str, Module] = {
     "brightness-gate": lambda f, c: op.bright_enough(f, c.get("minimumMeanByte", 18)),
     "dark-frame-filter": lambda f, c: op.not_dark(
-        f, op.mean_byte(f.getField("payload")), c.get("minimumMean", 18), c.get("rejectOnDecodeFailure", True)
+        f, decoded_mean(f), c.get("minimumMean", 18), c.get("rejectOnDecodeFailure", True)
     ),
     "black-screen-check": lambda f, c: op.is_black(
-        f, op.mean_byte(f.getField("payload")), c.get("maximumMean", 40), c.get("treatDecodeFailureAsBlack", True)
+        f, decoded_mean(f), c.get("maximumMean", 40), c.get("treatDecodeFailureAsBlack", True)
     ),
     "invert-transformer": lambda f, c: op.invert(f),
 }
