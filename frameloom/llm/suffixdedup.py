@@ -44,8 +44,11 @@ from frameloom.llm.shared import written
 
 U64 = tn.U64
 SEED = 16
-#: Bits of a packed place: start of the reach, windows in it, two checks.
-_AT, _WIDTH, _LEFT, _RIGHT = 24, 16, 8, 0
+#: Bits of a packed place: start of the reach, windows in it, where in it the
+#: anchor is, and checks of the bytes on its left and its right.
+_AT, _WIDTH, _ANCHOR, _LEFT = 31, 23, 16, 8
+#: Documents that a task looks at together, which bounds what it holds.
+TOGETHER = 4096
 ROWS = "name long, reach long, doc long, place long"
 SPANS = "doc long, start long, stop long, open boolean"
 
@@ -131,6 +134,12 @@ def _split_copies(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
 def _even(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Even names for spans that only pass through a sort, spread over it."""
     return tn.mix(doc.astype(U64) ^ tn.mix(start.astype(U64))) & ~U64(1)
@@ -140,7 +149,7 @@ def _anchor_rows(threshold: int):
     """Rows of anchors (odd names) and of spans known to be copies (even ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_numpy()
             data, offs = tn.utf8(batch.column(1))
             found = []
@@ -162,6 +171,7 @@ def _anchor_rows(threshold: int):
                 place = (
                     ((start - at[doc]).astype(U64) << U64(_AT))
                     | (n.astype(U64) << U64(_WIDTH))
+                    | ((anchor - start).astype(U64) << U64(_ANCHOR))
                     | (left << U64(_LEFT))
                     | right
                 )
@@ -246,9 +256,19 @@ def _rank_anchors(threshold: int):
             right = (bits & U64(0xFF)).astype(np.int64)
             # pairs of the doubled length; the first of equal reaches stands for all
             first = ~copy
-            open_ = np.zeros(len(doc), bool)
+            by_left, by_right = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             g, d = group[first], doc[first]
-            open_[first] = _shared_by_others(g, left[first], d) | _shared_by_others(g, right[first], d)
+            by_left[first] = _shared_by_others(g, left[first], d)
+            by_right[first] = _shared_by_others(g, right[first], d)
+            # a window with half of the rest on one side needs that side shared
+            anchor = start + ((bits >> U64(_ANCHOR)) & U64(0x7F)).astype(np.int64)
+            rest = threshold - SEED
+            half = (rest + 1) // 2
+            last = np.where(by_right, stop - threshold, np.minimum(stop - threshold, anchor - (rest - half + 1)))
+            begin_at = np.where(by_left, start, np.maximum(start, anchor - (half - 1)))
+            open_ = (by_left | by_right) & (begin_at <= last)
+            start = np.where(open_, begin_at, start)
+            stop = np.where(open_, last + threshold, stop)
             keep = copy | open_
             yield _span_batch(doc[keep], start[keep], stop[keep], open_[keep])
 
@@ -277,7 +297,7 @@ def _window_rows(threshold: int):
     half = threshold // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, out = batch.column(0).to_numpy(), []
             for i in range(len(ids)):
                 data = np.frombuffer(_unpacked(batch.column(1)[i].as_py()), np.uint8)
@@ -323,7 +343,7 @@ def _rank_windows(threshold: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, packed, spans, carried) to what is left of each text."""
-    for batch in batches:
+    for batch in _slices(batches, TOGETHER // 4):
         rows = []
         for i in range(batch.num_rows):
             text = _unpacked(batch.column(1)[i].as_py())
@@ -411,8 +431,8 @@ def dedup_substrings(
     ``kept_text`` leaves out only whole characters of a span, so that it stays
     valid text; the digest is of exactly the bytes that no span covers.
     """
-    if not 2 * SEED <= threshold <= 255:
-        raise ValueError(f"threshold must be from {2 * SEED} to 255 bytes")
+    if not 2 * SEED <= threshold <= 128:
+        raise ValueError(f"threshold must be from {2 * SEED} to 128 bytes")
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
