@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from frameloom.llm import queries
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables a
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if x is None or x != x else str(x).removesuffix(".0") for x in r) for r in frame.astype(object).values.tolist())
+    return sorted(tuple("" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in frame.astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
