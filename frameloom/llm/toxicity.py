@@ -3,12 +3,14 @@
 Each token scores its log-odds of toxic against clean text under a Dirichlet
 prior, less a small drift. A linear scan finds every maximal scoring segment
 of a text; extreme-value statistics of such segments say how surprising each
-is in clean text of that length, and the surprise of a document's significant
-segments, summed, is calibrated to a probability.
+is in clean text of that length, and the surprise of a document's segments above
+the expected best one, summed, is calibrated to a probability.
 
 Only labelled rows that ``train`` admits are learned from, and of those a
-bounded, hashed sample of about ``max_train`` documents: one half gives the
-log-odds, the other the calibration. Scores look at the text alone.
+bounded, hashed sample of about ``max_train`` documents. Every token of the
+sample has a score; how far it stands from zero follows how often the token was
+seen. The calibration is cross-fitted: each of ``FOLDS`` parts of the sample is
+judged by scores that the other parts gave. Scores look at the text alone.
 
 Defined cases: a null or empty text has no token and gets the calibrated base
 rate. Labels that are null or belong to no document are not used; of labels
@@ -23,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ RESULT = (
     "doc_id long, n_tokens long, score double, surprise double, "
     "passages array<struct<start: long, end: long, score: double>>"
 )
+#: Parts of the sample for the cross-fitted calibration.
+FOLDS = 5
+#: A passage is significant if clean text of that length is expected to have
+#: fewer than this number of segments that score as much.
+EXPECTED = 0.05
 _PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
@@ -69,24 +75,26 @@ class Model:
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments [start, end) with their scores, in order.
 
-    Linear: only positive scores open a segment, and each is pushed and merged
-    away at most once. Runs of other scores enter through the running sum.
+    Linear: only positive scores open a segment, each is pushed and merged away
+    at most once, and remembers the last one before it that starts lower, so that
+    none between is looked at again. Runs of other scores enter through the
+    running sum.
     """
     total = np.cumsum(scores)
-    stack: list[tuple[float, float, int, int]] = []
+    stack: list[tuple[float, float, int, int, int]] = []
     for i in np.flatnonzero(scores > 0).tolist():
         left, right, start, end = total[i] - scores[i], total[i], i, i + 1
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= right:
                 break
-            left, start = stack[j][0], stack[j][2]
+            left, _, start, _, back = stack[j]
             del stack[j:]
-            j -= 1
-        stack.append((left, right, start, end))
-    return [(a, b, float(r - l)) for l, r, a, b in stack]
+            j = back
+        stack.append((left, right, start, end, j))
+    return [(a, b, float(r - l)) for l, r, a, b, _ in stack]
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,13 +108,15 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic, clean) counts of documents of batches of (text, toxic).
+    """(token, fold, toxic, clean) counts of documents of batches of (text, toxic, fold).
 
     A token counts once for each document, or one that repeats a word a
     thousand times would make a rule of it.
     """
+    kind = np.dtype([("token", tn.U64), ("fold", np.int64)])
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False) > 0
+        fold = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         found = []
         for a, h, _, _, w in _tokens(batch.column(0)):
             owner = np.repeat(np.arange(a, a + len(w) - 1), np.diff(w))
@@ -114,25 +124,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, owner = h[order], owner[order]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            found.append((h[fresh], toxic[owner[fresh]]))
+            found.append((h[fresh], fold[owner[fresh]], toxic[owner[fresh]]))
         if not found:
             continue
-        h, t = (np.concatenate(x) for x in zip(*found))
-        names, at = np.unique(h, return_inverse=True)
-        n = np.bincount(at, minlength=len(names))
-        y = np.bincount(at, weights=t, minlength=len(names)).astype(np.int64)
+        h, f, t = (np.concatenate(x) for x in zip(*found))
+        pairs = np.empty(len(h), kind)
+        pairs["token"], pairs["fold"] = h, f
+        order = np.lexsort((f, h))
+        pairs, t = pairs[order], t[order]
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        n = np.diff(np.append(first, len(pairs)))
+        y = np.add.reduceat(t.astype(np.int64), first) if len(first) else n
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.view(np.int64)), pa.array(y), pa.array(n - y)], names=["token", "toxic", "clean"]
+            [pa.array(pairs["token"][first].view(np.int64)), pa.array(pairs["fold"][first]), pa.array(y), pa.array(n - y)],
+            names=["token", "fold", "toxic", "clean"],
         )
 
 
-def log_odds(toxic: Column, clean: Column, all_toxic: int, all_clean: int, prior: float) -> tuple[Column, Column]:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int, prior: float) -> np.ndarray:
     """Log-odds of tokens, with a Dirichlet prior of ``prior`` tokens shaped like
-    the text of both classes, and their z scores."""
+    the text of both classes, shrunk by their variance.
+
+    That prior grows with a token's own count, so by itself it leaves a token
+    seen once as far from zero as one seen a thousand times with the same
+    shares. Hence a second one, normal with variance 1 around zero, of which the
+    mean after seeing the log-odds is taken.
+    """
     shape = (toxic + clean) * (prior / (all_toxic + all_clean))
     y, x = toxic + shape, clean + shape
-    odds = F.log(y / (all_toxic + prior - y)) - F.log(x / (all_clean + prior - x))
-    return odds, odds / F.sqrt(1 / y + 1 / x)
+    odds = np.log(y / (all_toxic + prior - y)) - np.log(x / (all_clean + prior - x))
+    return odds / (1 + 1 / y + 1 / x)
+
+
+def _learn(tokens: np.ndarray, toxic: np.ndarray, clean: np.ndarray, prior: float, drift: float) -> Model:
+    """A model of sorted ``tokens`` from their counts; without one class, none."""
+    model, t, c = Model(drift=drift), int(toxic.sum()), int(clean.sum())
+    if not t or not c:
+        return model
+    # A score depends on the two counts alone, and few pairs of them differ.
+    pairs = toxic.astype(np.int64) << 32 | clean.astype(np.int64)
+    pairs, at, n = np.unique(pairs, return_inverse=True, return_counts=True)
+    y, x = (pairs >> 32).astype(float), (pairs & 0xFFFFFFFF).astype(float)
+    seen = y + x > 0
+    scores = np.zeros(len(pairs))
+    scores[seen] = log_odds(y[seen], x[seen], t, c, prior * (t + c))
+    model.tokens, model.scores = tokens, scores.astype(np.float32)[at]
+    model.rate = _law(scores, n * (x + prior * (y + x)) / (c + prior * (t + c)), drift)
+    return model
 
 
 def _law(scores: np.ndarray, chance: np.ndarray, drift: float) -> float:
@@ -151,17 +189,19 @@ def _law(scores: np.ndarray, chance: np.ndarray, drift: float) -> float:
     return high
 
 
-def _segments_of(model: Model):
-    """One row per document: toxic, n_tokens and the scores of its segments."""
+def _segments_of(models: list[Model]):
+    """One row per document: toxic, n_tokens and the scores of its segments, by
+    the model of its fold and in units of that model's extreme-value law."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, found = [], []
-            for _, h, _, _, w in _tokens(batch.column(0)):
-                scores = model.token_scores(h)
+            fold, n, found = batch.column(2).to_pylist(), [], []
+            for a, h, _, _, w in _tokens(batch.column(0)):
                 for i in range(len(w) - 1):
+                    model = models[fold[a + i]]
+                    scores = model.token_scores(h[w[i] : w[i + 1]])
                     n.append(int(w[i + 1] - w[i]))
-                    found.append([x[2] for x in maximal_segments(scores[w[i] : w[i + 1]])])
+                    found.append([x[2] * model.rate for x in maximal_segments(scores)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))],
                 names=["toxic", "n", "segments"],
@@ -191,18 +231,15 @@ def fit(
     toxic: str = "toxic",
     train: Column | None = None,
     max_train: int = 40_000,
-    max_tokens: int = 20_000,
     prior: float = 0.1,
-    least_z: float = 4.0,
     drift: float = 0.1,
 ) -> Model:
     """Learn a model from ``labels`` (id and ``toxic`` 0 or 1) of ``docs``.
 
     ``max_train`` bounds the sample of labelled documents (in expectation; ids
-    are drawn by hash), hence also the broadcast of its ids and what the driver
-    gets for the calibration. ``max_tokens`` bounds the tokens of the model:
-    those whose log-odds are significant, most significant first. ``prior`` is
-    the weight of the Dirichlet prior as a share of what was counted.
+    are drawn by hash), hence also the broadcast of its ids, the vocabulary that
+    the driver gets and sends out as the model, and the rows of the calibration.
+    ``prior`` is the weight of the Dirichlet prior as a share of what was counted.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).alias("toxic")).where(
         "doc_id is not null and toxic is not null"
@@ -213,56 +250,49 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
     share = min(1.0, max_train / max(known.count(), 1))
     sample = known.where(draw < int(share * (1 << 20))).withColumn(
-        "half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+        "fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(sample), "doc_id"
+    texts = (
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        .join(F.broadcast(sample), "doc_id")
+        .select("text", "toxic", "fold")
     )
 
-    counts = (
-        texts.where("half = 0")
-        .select("text", "toxic")
-        .mapInArrow(_count, "token long, toxic long, clean long")
-        .groupBy("token")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
-    counts = written(counts, "token-counts")
-    t, c = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    model = Model(drift=drift)
-    if t and c:
-        odds, z = log_odds(F.col("toxic"), F.col("clean"), t, c, prior * (t + c))
-        rows = (
-            counts.withColumns({"odds": odds, "z": z})
-            .where(F.abs("z") >= least_z)
-            .orderBy(F.abs("z").desc(), "token")
-            .limit(max_tokens)
-            .toPandas()
-        )
-        h = rows["token"].to_numpy().astype(np.int64).view(tn.U64)
-        order = np.argsort(h)
-        model.tokens, model.scores = h[order], rows["odds"].to_numpy(float)[order]
-        seen = (rows["clean"] + prior * (rows["toxic"] + rows["clean"])).to_numpy(float)[order]
-        model.rate = _law(model.scores, seen / (c + prior * (t + c)), drift)
-
-    other = texts.where("half = 1").select("text", "toxic")
-    seen = other.mapInArrow(_segments_of(model), "toxic int, n long, segments array<double>").toPandas()
-    return _finish(model, seen)
-
-
-def _finish(model: Model, seen: pd.DataFrame) -> Model:
+    by_fold = [
+        F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0)).cast("int").alias(f"{x}{k}")
+        for x in ("toxic", "clean")
+        for k in range(FOLDS)
+    ]
+    counts = texts.mapInArrow(_count, "token long, fold long, toxic long, clean long").groupBy("token").agg(*by_fold)
+    rows = written(counts, "token-counts").toArrow()
+    tokens = rows["token"].to_numpy().astype(np.int64).view(tn.U64)
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    y, x = (np.column_stack([rows[f"{c}{k}"].to_numpy() for k in range(FOLDS)])[order] for c in ("toxic", "clean"))
+    del rows
+    model = _learn(tokens, y.sum(1), x.sum(1), prior, drift)
+    others = [_learn(tokens, y.sum(1) - y[:, k], x.sum(1) - x[:, k], prior, drift) for k in range(FOLDS)]
+    seen = texts.mapInArrow(_segments_of(others), "toxic int, n long, segments array<double>")
+    return _finish(model, written(seen, "segments"))
+
+
+def _finish(model: Model, seen: DataFrame) -> Model:
     """Size of the extreme-value law from clean documents; calibration of all."""
-    y = (seen["toxic"].to_numpy() > 0).astype(float) if len(seen) else np.zeros(0)
+    if len(model.tokens):
+        # Most likely size, given the best segment of each clean document.
+        best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+        m, e = seen.where("toxic <= 0 and n > 0").agg(F.count("*"), F.sum(F.col("n") * F.exp(-best))).first()
+        model.size = m / e if e else 1.0
+    bar = F.log(F.greatest(model.size * F.col("n"), F.lit(1e-12)))
+    surprise = F.aggregate("segments", F.lit(0.0), lambda a, s: a + F.greatest(s - bar, F.lit(0.0)))
+    rows = seen.select("toxic", surprise.alias("surprise")).toArrow()
+    x, y = rows["surprise"].to_numpy(), (rows["toxic"].to_numpy() > 0).astype(float)
+    # In one order, so that sums don't follow that of the rows.
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
     model.base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 9.5)))
-    if not len(model.tokens) or not 0 < y.sum() < len(y):
-        return model
-    clean = seen[y == 0]
-    scores = np.concatenate([np.asarray(x, float) for x in clean["segments"]] or [np.zeros(0)])
-    least = float(model.scores.max() - model.drift) / 2
-    model.size = (
-        max(int((scores >= least).sum()), 1) * float(np.exp(model.rate * least)) / max(int(clean["n"].sum()), 1)
-    )
-    surprise = np.array([model.surprise([(0, 0, s) for s in x], n) for x, n in zip(seen["segments"], seen["n"])])
-    model.base, model.slope = _calibrate(np.log1p(surprise), y)
+    if len(model.tokens) and 0 < y.sum() < len(y):
+        model.base, model.slope = _calibrate(np.log1p(x), y)
     return model
 
 
@@ -278,7 +308,7 @@ def _score(model: Model):
                     found = maximal_segments(scores[a:b]) if positive[i + 1] > positive[i] else []
                     n.append(b - a)
                     surprises.append(model.surprise(found, b - a))
-                    bar = np.log(max(model.size * (b - a), 1e-12))
+                    bar = np.log(max(model.size * (b - a), 1e-12) / EXPECTED)
                     passages.append(
                         [
                             {"start": int(s[a + x]), "end": int(e[a + y - 1]), "score": v}

@@ -84,3 +84,29 @@ def test_hold_out_is_not_learned_from(spark):
     a = {r.doc_id: r.score for r in toxicity.rate_toxicity(d, lab).collect()}
     b = {r.doc_id: r.score for r in toxicity.rate_toxicity(d, flipped).collect()}
     assert a == b
+
+
+def test_few_toxic_labels_are_learned_from(spark):
+    rng = random.Random(17)
+    mild, bad = [f"word{i}" for i in range(400)], ["vile", "nasty", "rotten"]
+    docs, toxic_ids = [], set(range(0, 200, 10))
+    for i in range(200):
+        words = [rng.choice(mild) for _ in range(60)]
+        words[20:20] = rng.sample(bad, 2) if i in toxic_ids else []
+        docs.append((i, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i in toxic_ids)) for i, _ in docs], "doc_id long, toxic int")
+    rows = toxicity.rate_toxicity(d, lab).collect()
+    # 16 of the 20 are learned from, so each word is in about ten documents
+    assert sum(r.held_out for r in rows if r.doc_id in toxic_ids) >= 3
+    found = {r.doc_id for r in rows if r.predicted}
+    assert len(found & toxic_ids) >= 18 and len(found - toxic_ids) <= 4
+
+
+def test_segments_of_a_long_falling_text_take_linear_time():
+    import time
+
+    scores = np.tile([1.0, -1.5], 100_000)
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(scores)) == 100_000
+    assert time.perf_counter() - began < 10
