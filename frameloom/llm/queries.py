@@ -51,7 +51,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(
         table(spark, sf_dir, "documents"),
         tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"),
-        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        cache_path=tokencount.shared_cache(spark),
     )
 
 

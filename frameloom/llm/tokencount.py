@@ -2,27 +2,30 @@
 
 Texts are reduced to distinct content digests, those that the cache has counts
 for (for this very tokenizer version) are left out, only the misses are
-encoded, and their counts are appended to the cache.
+encoded, and their counts are appended to the cache, a parquet folder.
+
+Every text is counted by the library that the vocabulary file belongs to.
 
 Defined cases: a null text counts as empty, with 0 bytes and 0 tokens. Equal
 texts are encoded once, however many rows hold them. Texts are encoded whole.
 Content is normalised by nothing but that null rule, as any other change (case,
 Unicode forms, white space) changes the counts of a byte-level tokenizer.
+Repeated and null ids keep a row each, an empty table gives an empty result,
+and columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import scratch_path, written
+from frameloom.llm.shared import exists, scratch_path, scratch_root, written
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -41,26 +44,8 @@ def tokenizer_digest(path: str) -> str:
     return h.hexdigest()
 
 
-#: Characters on which both byte-level libraries split alike in any Unicode
-#: version: printable ASCII, common white space, Latin letters.
-PLAIN = re.compile("[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]*")
-
-
-def _ranks(path: str):
-    """The byte-level vocabulary read as merge ranks, which count faster."""
-    import base64
-
-    import tiktoken
-    from public_tokenizers import PATTERN
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {"<|endoftext|>": len(ranks)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-
 @lru_cache(maxsize=4)
-def _counter(path: str, ranks_path: str | None):
+def _counter(path: str):
     """A function from texts to numbers of tokens; one for each worker."""
     if not path.endswith(".json"):
         import sentencepiece
@@ -73,24 +58,12 @@ def _counter(path: str, ranks_path: str | None):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    ranks = _ranks(ranks_path) if ranks_path else None
-
-    def count(texts: list[str]) -> list[int]:
-        if ranks is None:
-            return [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        return [
-            len(ranks.encode(x, allowed_special="all"))
-            if PLAIN.fullmatch(x)
-            else len(t.encode(x, add_special_tokens=False))
-            for x in texts
-        ]
-
-    return count
+    return lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _encode(path: str, ranks_path: str | None, version: str, at_once: int = 64):
+def _encode(path: str, version: str, at_once: int = 64):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = _counter(path, ranks_path)
+        count = _counter(path)
         for batch in batches:
             texts = batch["text"].tolist()
             n = [x for i in range(0, len(texts), at_once) for x in count(texts[i : i + at_once])]
@@ -99,11 +72,15 @@ def _encode(path: str, ranks_path: str | None, version: str, at_once: int = 64):
     return run
 
 
+def shared_cache(spark: SparkSession) -> str:
+    """A cache in the shared scratch folder that outlives calls and sessions."""
+    return f"{scratch_root(spark)}/frameloom-token-cache"
+
+
 def count_tokens(
     docs: DataFrame,
     *,
     tokenizer_path: str,
-    ranks_path: str | None = None,
     cache_path: str | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -111,42 +88,28 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
-    ``cache_path`` names a parquet folder of ``CACHE`` rows to use and extend;
-    without it the call keeps a cache of its own in shared scratch. The
-    vocabulary is read by path on each executor, as it is installed there.
-    ``ranks_path`` may name the same vocabulary as merge ranks: texts of
-    ``PLAIN`` characters are then counted by the faster library for those,
-    which gives the same counts; every other text by the .json file's own.
+    ``cache_path`` names a folder of counts to use and extend; without it the
+    call keeps a cache of its own in scratch. The vocabulary is read by path on
+    each executor, as it is installed there.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.sha2(body, 256).alias("content"))
+    cache_path = cache_path or scratch_path(spark, "token-cache")
 
-    known = spark.createDataFrame([], CACHE)
-    if cache_path is None:
-        cache_path = scratch_path(spark, "token-cache")
-    else:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            known = spark.read.schema(CACHE).parquet(cache_path)
-    known = known.where(F.col("tokenizer") == version)
+    def known() -> DataFrame:
+        return spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version)
 
     # Equal texts meet map-side first, so many copies reach the shuffle as few.
-    distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
-    misses = distinct.join(known, "content", "left_anti")
-    misses.mapInPandas(_encode(tokenizer_path, ranks_path, version), CACHE).write.mode("append").parquet(cache_path)
+    misses = keyed.groupBy("content").agg(F.first("text").alias("text"))
+    if exists(spark, cache_path):
+        misses = misses.join(known(), "content", "left_anti")
+    misses.mapInPandas(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
 
     # Two runs at once may append the same miss twice; both counts are equal.
     # Written, so that the join below is one of plain tables, whose skew Spark splits.
-    counts = written(
-        spark.read.schema(CACHE)
-        .parquet(cache_path)
-        .where(F.col("tokenizer") == version)
-        .groupBy("content")
-        .agg(F.max("n_tokens").alias("n_tokens")),
-        "token-counts",
-    )
+    counts = written(known().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return (
         keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counts, "content")

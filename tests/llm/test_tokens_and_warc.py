@@ -3,13 +3,13 @@ import hashlib
 import random
 
 import public_tokenizers
-from hypothesis import given, settings
+from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from frameloom.llm import tokencount, warc
+from frameloom.llm import queries, tokencount, warc
 
-JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", "Hello  world\n\n x", "é ß ñ 123 don't", "<|endoftext|> a <|endoftext|>", "日本 \u00a0 \u2003x", "a" * 20_000, "\x00\x1f\x85", None]
 
 
@@ -24,18 +24,35 @@ def test_counts_are_the_library_s(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(100, TEXTS[1], 1), (None, "x y", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, content int")
     want = reference([t for _, t, _ in rows])
-    for ranks in (RANKS, None):
-        got = {(r.doc_id): r for r in tokencount.count_tokens(docs, tokenizer_path=JSON, ranks_path=ranks, limit=10).collect()}
-        assert [got[i].n_tokens for i, _, _ in rows] == want
-        assert [got[i].n_bytes for i, _, _ in rows] == [len((t or "").encode()) for _, t, _ in rows]
-        assert [got[i].over_limit for i, _, _ in rows] == [n > 10 for n in want]
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("\t\n\r ~!'09azAZÀÖöÿſ'sretlmd<|endoftxt>") | st.characters(max_codepoint=0x17F)))
-def test_both_libraries_agree_on_plain_text(text):
-    fast, slow = tokencount._counter(JSON, RANKS), tokencount._counter(JSON, None)
-    assert fast([text]) == slow([text])
+    got = {(r.doc_id): r for r in tokencount.count_tokens(docs, tokenizer_path=JSON, limit=10).collect()}
+    assert [got[i].n_tokens for i, _, _ in rows] == want
+    assert [got[i].n_bytes for i, _, _ in rows] == [len((t or "").encode()) for _, t, _ in rows]
+    assert [got[i].over_limit for i, _, _ in rows] == [n > 10 for n in want]
+
+
+def test_long_runs_of_one_character(spark):
+    texts = ["a" + " " * 1_200_000 + "b", " " * 1_000_000, "x" * 300_000, "\n" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, tokenizer_path=JSON).collect()}
+    assert [got[i] for i in range(len(texts))] == reference(texts)
+
+
+def test_the_query_encodes_nothing_the_second_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokencount, "scratch_root", lambda spark: str(tmp_path))
+    spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = queries.op6_token_counts(spark, str(tmp_path)).collect()
+    cache = spark.read.parquet(tokencount.shared_cache(spark))
+    assert cache.count() == 2
+
+    def refuse(*_):
+        def run(batches):
+            assert not any(len(b) for b in batches)
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(tokencount, "_encode", refuse)
+    assert sorted(queries.op6_token_counts(spark, str(tmp_path)).collect()) == sorted(first)
 
 
 def test_the_cache_serves_hits_and_takes_misses(spark, tmp_path):
