@@ -135,7 +135,7 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN rest = '' THEN '' ELSE
          array_to_string(list_reverse(string_split(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '.')), ',') || ')'
          || regexp_extract(rest, '^[^/?#]*(.*)$', 1, 's') END AS url_key,
-       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds((page_id % 1073741824 + 1073741824) % 1073741824), '%Y-%m-%dT%H:%M:%SZ') AS capture_time
 FROM kept
 """
 

@@ -2,26 +2,39 @@
 
 Writing: payloads are digested, equal ones get one ``response`` record and the
 others ``revisit`` records, and each task writes its captures in order of URL
-key and time: a locally sorted run. The files are written by Spark's text
-writer, whose line separator is the end of a WARC record, so any file system
-that Spark knows will do.
-
-Reading: each archive is walked by Content-Length. Its entries are a sorted
-run of the index; runs meet in range partitions of (URL key, time), where a
-loser tree merges them into globally ordered capture histories.
+key, time and page: a locally sorted run. A record is a gzip member of its own,
+so that an index entry's offset is enough to read it; an archive ends at
+``archive_bytes``. Files are written by Spark's text writer, a row for each
+archive, so any file system that Spark knows will do. (It names them ``.txt``
+and ends each with its separator, here a zero byte, which is gzip's padding.)
+
+Reading: each archive is walked member by member. Its entries, in the order of
+the file, are a sorted run, or several where a foreign archive isn't sorted, and
+are kept as chunks of a run.
+
+Merging: chunks are cut at the bounds of ranges of (URL key, time, page) and
+dealt to their range. A task gets its chunks by their first entries, and a loser
+tree merges the entries of those that are open. A chunk opens when the merge
+comes to its first entry, so the task holds the chunks that overlap, and no run
+or range as a whole.
 
 Defined cases: a null payload is an empty one; a null URL has the empty key.
-Payloads below ``least`` bytes are all responses. Of rows that repeat the
-largest page id of an equal payload, all are responses. An empty table makes
-an empty history. Only the three named columns are read.
+Page ids may be any 64-bit number or null; the time made of one stays within
+``SPAN_SECONDS``. Payloads below ``least`` bytes are all responses. Of rows that
+repeat the largest page id of an equal payload, all are responses; a row with a
+null id revisits that page, if there is one with an id. An empty table makes an
+empty history. Only the three named columns are read.
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +42,21 @@ from frameloom.llm.shared import scratch_path, written
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
+LENGTH_FIELD = "X-Payload-Length"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = (
+#: Times made of page ids fall into so many seconds, some 34 years.
+SPAN_SECONDS = 1 << 30
+#: Entries of a run that travel together.
+CHUNK = 256
+
+ENTRY = (
     "archive string, offset long, page_id long, url_key string, capture_time string, "
     "record_type string, payload_digest string, payload_bytes long, refers_to long"
 )
+CHUNKS = f"run string, low struct<url_key: string, capture_time: string, page: long>, entries array<struct<{ENTRY}>>"
+_ENTRY = pa.struct([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in ENTRY.split(", ")])
+_LOW = pa.struct([("url_key", pa.string()), ("capture_time", pa.string()), ("page", pa.int64())])
 
 
 def url_key(url: Column) -> Column:
@@ -66,12 +88,12 @@ def captures(pages: DataFrame, *, page_id: str, url: str, payload: str, least: i
     )
     # Short payloads find no partner here: their digests were left out above.
     return seen.join(first, "digest", "left").withColumn(
-        "refers_to", F.when(F.col("first_id") != F.coalesce("page_id", F.lit(-1)), F.col("first_id"))
+        "refers_to", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     )
 
 
 def record(page: Column, time: Column) -> Column:
-    """The text of a record up to the two line ends that close it."""
+    """The text of a record."""
     line = "\r\n"
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -93,16 +115,39 @@ def record(page: Column, time: Column) -> Column:
             F.concat(
                 F.lit(line + "WARC-Refers-To: <urn:page:"),
                 F.col("refers_to").cast("string"),
-                F.lit(f">{line}WARC-Profile: {REVISIT_PROFILE}"),
+                F.lit(f">{line}WARC-Profile: {REVISIT_PROFILE}{line}{LENGTH_FIELD}: "),
+                F.col("n_bytes").cast("string"),
             ),
         ).otherwise(""),
         F.lit(line + "Content-Type: application/http; msgtype=response" + line + "Content-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(line + line),
         block,
+        F.lit(line + line),
     )
 
 
+def _packed(archive_bytes: int):
+    """Records, in order, to archives of gzip members, at most one record longer
+    than ``archive_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = z.compress(value.as_buffer()) + z.flush()
+                members.append(member)
+                size += len(member)
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["archive"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["archive"])
+
+    return run
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
@@ -112,24 +157,28 @@ def write_archives(
     payload: str = "html",
     least: int = 1000,
     epoch: str = "2024-01-01 00:00:00",
-    records_per_archive: int = 50_000,
+    archive_bytes: int = 16 << 20,
 ) -> None:
-    """Write one record per row of ``pages`` as ``*.txt.gz`` WARC files.
+    """Write one record per row of ``pages``, as archives below ``path``.
 
-    The table has no times of capture; page ids, as seconds after ``epoch``,
-    stand for them. Each file is a run sorted by URL key and time.
+    The table has no times of capture; page ids, modulo ``SPAN_SECONDS``, as
+    seconds after ``epoch`` stand for them. Each file is a run sorted by URL key,
+    time and page id.
     """
     made = captures(pages, page_id=page_id, url=url, payload=payload, least=least)
-    time = F.date_format(
-        F.timestamp_seconds(F.unix_timestamp(F.lit(epoch)) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    after = F.coalesce(F.pmod("page_id", F.lit(SPAN_SECONDS)), F.lit(0))
+    time = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(epoch)) + after), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    records = (
+        made.withColumns({"key": url_key(F.regexp_replace("url", r"[\r\n]", "")), "time": time})
+        .sortWithinPartitions("key", "time", "page_id")
+        .select(record(F.col("page_id"), F.col("time")).cast("binary").alias("record"))
     )
     (
-        made.withColumn("key", url_key(F.col("url")))
-        .sortWithinPartitions("key", "page_id")
-        .select(record(F.col("page_id"), time).alias("value"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_archive)
+        records.mapInArrow(_packed(archive_bytes), "archive binary")
+        # The same bytes under the type that the text writer takes.
+        .select(F.col("archive").cast("string").alias("value"))
+        .write.option("lineSep", "\0")
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
@@ -139,8 +188,8 @@ def _page_number(urn: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an uncompressed archive."""
+def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of uncompressed bytes."""
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
@@ -153,59 +202,99 @@ def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = stop + 4 + length + 4
 
 
-def _index_archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import hashlib
+def parse_archive(data: bytes, piece: int = 1 << 16) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of an archive, plain or gzipped.
+
+    An offset is that of the record, or of the gzip member which holds it. One
+    member is held at a time.
+    """
+    if data[:2] != b"\x1f\x8b":
+        yield from parse_records(data)
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data) and data[at] != 0:
+        z, parts, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at byte {at} is cut off")
+            parts.append(z.decompress(view[end : end + piece]))
+            end = min(end + piece, len(data))
+        for _, headers, block in parse_records(b"".join(parts)):
+            yield at, headers, block
+        at = end - len(z.unused_data)
+
+
+def _key(entry: dict) -> tuple[str, str, int]:
+    """What entries are ordered by; null pages come first."""
+    page = entry["page_id"]
+    return entry["url_key"], entry["capture_time"], -(1 << 63) if page is None else page
+
+
+def url_key_of(url: str) -> str:
+    """``url_key`` of one URL that is at hand as Python text."""
+    scheme, mark, rest = url.partition("://")
+    if not (mark and scheme.isascii() and scheme[:1].isalpha() and all(c.isalnum() or c in "+.-" for c in scheme)):
+        rest = url
+    if not rest:
+        return ""
+    end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+    return ",".join(reversed(rest[:end].lower().split("."))) + ")" + rest[end:]
+
+
+def _entries(path: str, content: bytes) -> Iterator[dict]:
+    for offset, headers, block in parse_archive(content):
+        kind = headers["WARC-Type"]
+        body = block[block.index(b"\r\n\r\n") + 4 :]
+        told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+        if kind == "response" and hashlib.sha1(body).hexdigest() != told:
+            raise ValueError(f"{path}: payload at byte {offset} doesn't match its digest")
+        length = headers.get(LENGTH_FIELD)
+        yield {
+            "archive": path,
+            "offset": offset,
+            "page_id": _page_number(headers["WARC-Record-ID"]),
+            "url_key": url_key_of(headers["WARC-Target-URI"]),
+            "capture_time": headers["WARC-Date"],
+            "record_type": kind,
+            "payload_digest": told,
+            "payload_bytes": len(body) if kind == "response" else length and int(length),
+            "refers_to": _page_number(headers.get("WARC-Refers-To")),
+        }
+
+
+def _chunk_batch(chunks: list[tuple[str, list[dict]]]) -> pa.RecordBatch:
+    lows = [dict(zip(("url_key", "capture_time", "page"), _key(entries[0]))) for _, entries in chunks]
+    columns = [
+        pa.array([run for run, _ in chunks], pa.string()),
+        pa.array(lows, _LOW),
+        pa.array([entries for _, entries in chunks], pa.list_(_ENTRY)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["run", "low", "entries"])
+
 
+def _index_archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the runs of (path, content) rows."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            for offset, headers, block in parse_archive(gzip.decompress(content)):
-                kind = headers["WARC-Type"]
-                body = block[block.index(b"\r\n\r\n") + 4 :]
-                told = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and hashlib.sha1(body).hexdigest() != told:
-                    raise ValueError(f"{path}: payload at byte {offset} doesn't match its digest")
-                rows.append(
-                    (
-                        path,
-                        offset,
-                        _page_number(headers["WARC-Record-ID"]),
-                        headers["WARC-Target-URI"],
-                        headers["WARC-Date"],
-                        kind,
-                        told,
-                        len(body) if kind == "response" else None,
-                        _page_number(headers.get("WARC-Refers-To")),
-                    )
-                )
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
-            for name in ("page_id", "payload_bytes", "refers_to"):
-                out[name] = out[name].astype("Int64")
-            yield out
+        for path, content in zip(batch.column(0), batch.column(1)):
+            path, n, chunk = path.as_py(), 0, []
+            for entry in _entries(path, content.as_py()):
+                falls = chunk and _key(entry) < _key(chunk[-1])
+                if falls or len(chunk) == CHUNK:
+                    yield _chunk_batch([(f"{path} {n}", chunk)])
+                    n, chunk = n + bool(falls), []
+                chunk.append(entry)
+            if chunk:
+                yield _chunk_batch([(f"{path} {n}", chunk)])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The index entries of all archives below ``path``, one per record.
+    """The index of all archives below ``path``: chunks of sorted runs.
 
-    ``url_key`` comes from the record's URI; a revisit has no payload of its
-    own, so its ``payload_bytes`` are those of the response it refers to.
+    A revisit has no payload of its own; its ``payload_bytes`` come from a header
+    field that ``write_archives`` adds, and are null where that is missing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    entries = written(
-        files.mapInPandas(_index_archive, INDEX).withColumn("url_key", url_key(F.col("url_key"))), "warc-index"
-    )
-    sizes = (
-        entries.where(F.col("record_type") == "response")
-        .groupBy(F.col("page_id").alias("refers_to"))
-        .agg(F.max("payload_bytes").alias("original_bytes"))
-    )
-    whole = entries.where(F.col("record_type") == "response")
-    revisits = (
-        entries.where(F.col("record_type") == "revisit")
-        .join(sizes, "refers_to", "left")
-        .withColumn("payload_bytes", F.col("original_bytes"))
-    )
-    return whole.unionByName(revisits.select(whole.columns))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return written(files.mapInArrow(_index_archive, CHUNKS), "warc-index")
 
 
 class LoserTree:
@@ -239,39 +328,100 @@ class LoserTree:
         self.losers[0] = i
 
     def __iter__(self) -> Iterator[tuple]:
+        return self.until(None)
+
+    def until(self, key: object) -> Iterator[tuple]:
+        """Items in order, up to those whose first field is not below ``key``."""
         while self.runs:
             i = self.losers[0]
-            if self.heads[i] is None:
+            head = self.heads[i]
+            if head is None or (key is not None and head[0] >= key):
                 return
-            yield self.heads[i]
+            yield head
             self.heads[i] = next(self.runs[i], None)
             self._enter(i)
 
+    def left(self) -> list[Iterator[tuple]]:
+        """The runs that still have items."""
+        return [chain([head], run) for head, run in zip(self.heads, self.runs) if head is not None]
 
-def _merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge the runs of one range partition; each archive's rows are sorted."""
-    found = [b for b in batches if len(b)]
-    if not found:
-        return
-    rows = pd.concat(found, ignore_index=True)
-    key, time = rows["url_key"].tolist(), rows["capture_time"].tolist()
-    runs = [
-        iter([(key[i], time[i], i) for i in at])
-        for _, at in sorted(rows.groupby("archive", sort=False).indices.items())
-    ]
-    order = [x[2] for x in LoserTree(runs)]
-    yield rows.iloc[order]
 
+def _cut_at(bounds: list[tuple]):
+    """Chunks cut at ``bounds``, with the number of the range that each is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, ranges = [], []
+            for name, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                at = [bisect_right(bounds, _key(e)) for e in entries]
+                start = 0
+                for i in range(1, len(at) + 1):
+                    if i == len(at) or at[i] != at[start]:
+                        chunks.append((name, entries[start:i]))
+                        ranges.append(at[start])
+                        start = i
+            cut = _chunk_batch(chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *cut.columns], names=["range", *cut.schema.names])
+
+    return run
 
-def merge_histories(entries: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Index entries in global order of URL key, then time.
 
-    Partitions are ranges of (URL key, time), so the many captures of one URL
-    spread over several; within each, the runs come in sorted by archive.
+def _opened(chunks: Iterator[list[dict]], least: int = 16) -> Iterator[dict]:
+    """Merge chunks that come in the order of their first entries.
+
+    When the merge reaches the first entry of the next chunk, that one and as
+    many more as are open are taken in and the tree is made anew, so that its
+    making costs a constant for each chunk.
+    """
+    ahead = next(chunks, None)
+    rest: list[Iterator[tuple]] = []
+    n = 0
+    while ahead is not None or rest:
+        for _ in range(max(least, len(rest))):
+            if ahead is None:
+                break
+            # The number keeps entries from being compared when keys are equal.
+            rest.append(iter([(_key(e), n, i, e) for i, e in enumerate(ahead)]))
+            n, ahead = n + 1, next(chunks, None)
+        tree = LoserTree(rest)
+        for item in tree.until(None if ahead is None else _key(ahead[0])):
+            yield item[3]
+        rest = tree.left()
+
+
+def _merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks = (entries for batch in batches for entries in (x.as_py() for x in batch.column(0)))
+    out: list[dict] = []
+
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_struct_array(pa.array(out, _ENTRY))
+
+    for entry in _opened(chunks):
+        out.append(entry)
+        if len(out) == 4096:
+            yield flushed()
+            out.clear()
+    if out:
+        yield flushed()
+
+
+def merge_histories(chunks: DataFrame, per_range: int = 100_000) -> DataFrame:
+    """Index entries in global order of URL key, time and page.
+
+    Ranges hold about ``per_range`` entries, and their bounds go down to the page,
+    so the many captures of one URL spread over several. The driver gets some 30
+    keys for each range, drawn by hash, to choose the bounds from.
     """
-    by = ("url_key", "capture_time", "offset")
-    ranged = entries.repartitionByRange(partitions, *by) if partitions else entries.repartitionByRange(*by)
-    return ranged.sortWithinPartitions("archive", "url_key", "capture_time").mapInPandas(_merge_runs, entries.schema)
+    facts = chunks.agg(F.sum(F.size("entries")).alias("entries"), F.count("*").alias("chunks")).first()
+    ranges = max(1, -(-(facts["entries"] or 0) // per_range))
+    one_in = max(1, facts["chunks"] // (32 * ranges))
+    bounds: list[tuple] = []
+    if ranges > 1:
+        drawn = chunks.where(F.pmod(F.xxhash64("run", "low"), F.lit(one_in)) == 0).select("low.*").collect()
+        keys = sorted(map(tuple, drawn))
+        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+    dealt = chunks.mapInArrow(_cut_at(bounds), f"range int, {CHUNKS}").repartitionById(len(bounds) + 1, F.col("range"))
+    return dealt.sortWithinPartitions("low").select("entries").mapInArrow(_merge_chunks, ENTRY)
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -103,22 +103,81 @@ def test_round_trip_and_order(spark):
     assert {r.page_id for r in got if r.url_key == ""} == {500}
 
 
-def test_archives_are_sorted_runs_of_whole_records(spark, tmp_path):
+def test_archives_are_sorted_runs_of_single_members(spark, tmp_path):
     rows, df = pages(spark)
-    warc.write_archives(df, str(tmp_path / "w"), records_per_archive=10)
-    files = sorted((tmp_path / "w").glob("*.gz"))
+    warc.write_archives(df, str(tmp_path / "w"), archive_bytes=2000)
+    files = sorted((tmp_path / "w").glob("*.txt"))
     assert len(files) > 8
     n = 0
     for f in files:
-        records = list(warc.parse_archive(gzip.decompress(f.read_bytes())))
-        assert 1 <= len(records) <= 10
+        data = f.read_bytes()
+        records = list(warc.parse_archive(data))
+        assert sum(len(x) for x in [data]) < 2000 + 1500
         n += len(records)
         assert all(h["WARC-Type"] in ("response", "revisit") and "Evil" not in h for _, h, _ in records)
+        # an offset alone is enough to read a record; the whole file is one gzip too
+        offset, headers, block = records[-1]
+        assert list(warc.parse_archive(data[offset:])) == [(0, headers, block)]
+        assert [(h, b) for _, h, b in warc.parse_records(gzip.decompress(data))] == [(h, b) for _, h, b in records]
+        keys = [(warc.url_key_of(h["WARC-Target-URI"]), h["WARC-Date"]) for _, h, _ in records]
+        assert keys == sorted(keys)
     assert n == len(rows)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.warc_round_trip(empty).count() == 0
 
 
+def test_any_page_id_and_many_ranges(spark, tmp_path):
+    ids = [1 << 62, -(1 << 63), (1 << 63) - 1, -5, None, None, 300_000_000_000, 7, 7]
+    rows = [(x, "http://hot.example/", "p" * (2000 if i % 2 else 3)) for i, x in enumerate(ids)]
+    rows += [(i, "http://hot.example/", "q%d" % i) for i in range(3000)]
+    rows.append((1, "http://a/", "long é" * 700_000))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    path = str(tmp_path / "w")
+    warc.write_archives(df, path, archive_bytes=3000)
+    chunks = warc.read_archives(spark, path)
+    merged = warc.merge_histories(chunks, per_range=100)
+    assert merged.rdd.getNumPartitions() > 20
+    got = merged.collect()
+    assert len(got) == len(rows)
+    keys = [(r.url_key, r.capture_time, -(1 << 63) if r.page_id is None else r.page_id) for r in got]
+    assert keys == sorted(keys)
+    assert all(len(r.capture_time) == 20 for r in got)
+    by_text = {r.page_id: r for r in got if r.payload_digest == hashlib.sha1(b"p" * 2000).hexdigest()}
+    assert {i: r.refers_to for i, r in by_text.items()} == {
+        -(1 << 63): 7, -5: 7, None: 7, 7: None
+    }
+    assert max(r.payload_bytes for r in got) == len(("long é" * 700_000).encode())
+
+
+def test_foreign_archives_may_be_plain_and_unsorted(spark, tmp_path):
+    def made(page, url, body):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Date: 2024-01-01T00:00:0{page}Z\r\nWARC-Target-URI: {url}\r\n"
+        head += f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "w").mkdir()
+    plain = [made(i, f"http://{h}/", b"x" * i) for i, h in enumerate("dbca")]
+    (tmp_path / "w" / "plain.warc").write_bytes(b"".join(plain))
+    (tmp_path / "w" / "one.warc.gz").write_bytes(gzip.compress(b"".join(plain[::-1])))
+    got = warc.merge_histories(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+    assert [r.url_key for r in got] == ["a)/", "a)/", "b)/", "b)/", "c)/", "c)/", "d)/", "d)/"]
+
+
+@given(st.lists(st.lists(st.integers(0, 30).map(lambda x: ("k", "t", x)), min_size=1).map(sorted), max_size=60))
+def test_chunks_open_in_time(chunks):
+    entries = [[{"url_key": a, "capture_time": b, "page_id": c} for a, b, c in x] for x in sorted(chunks)]
+    got = [warc._key(e) for e in warc._opened(iter(entries), least=2)]
+    assert got == sorted(x for c in chunks for x in c)
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from([*"ab./?#:+é-H1", "://"]), max_size=12).map("".join))
+def test_url_keys_agree(spark, url):
+    got = spark.range(1).select(warc.url_key(F.lit(url)).alias("k")).first().k
+    assert got == warc.url_key_of(url)
+
+
 @given(st.lists(st.lists(st.integers(0, 9).map(lambda x: (x,))).map(sorted), max_size=9))
 def test_loser_tree_merges(runs):
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
