@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -54,6 +55,90 @@ def test_suppression_and_rule_table(spark):
     assert licenses.detect_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_licenses(text, rules):
+    """Detections by Python's regular expressions and comparison of all pairs."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    form, found = " " + "".join(x + " " for x in w), []
+    for nth, r in enumerate(rules):
+        for m in re.finditer(f" (?:{r.pattern})(?= )", form):
+            start = form[: m.start()].count(" ")
+            found.append((start, start + m[0].count(" "), nth, r))
+    def inside(a, b):
+        return b[0] <= a[0] and a[1] <= b[1] and a is not b
+
+    def beats(b, a):
+        p, q, m, n = b[3].priority, a[3].priority, b[1] - b[0], a[1] - a[0]
+        return p > q or (p == q and (m > n or (m == n and b[2] < a[2])))
+
+    stand = [a for a in found if a[3].base or not any(inside(a, b) and beats(b, a) for b in found)]
+    miss = 1.0
+    for a in stand:
+        miss *= 1 - a[3].confidence
+    return sorted((a[0], a[1], a[3].label) for a in stand), 1 - miss
+
+
+def matching(pattern, rng):
+    """A random text that a pattern of a rule matches."""
+
+    def made(parts):
+        out = ""
+        for kind, arg in parts:
+            match str(kind):
+                case "LITERAL":
+                    out += chr(arg)
+                case "IN":
+                    choices = [x for k, x in arg if str(k) == "LITERAL"] + [y for k, x in arg if str(k) == "RANGE" for y in range(x[0], x[1] + 1)]
+                    out += "zebra" if str(arg[0][0]) == "NEGATE" else chr(rng.choice(choices))
+                case "NOT_LITERAL":
+                    out += "z"
+                case "MAX_REPEAT":
+                    low, high, inner = arg
+                    out += "".join(made(inner) for _ in range(rng.randint(low, min(high, low + 2))))
+                case "SUBPATTERN":
+                    out += made(arg[3])
+                case "BRANCH":
+                    out += made(rng.choice(arg[1]))
+                case "ASSERT_NOT":
+                    pass
+                case other:
+                    raise AssertionError(other)
+        return out
+
+    return made(re._parser.parse(pattern))
+
+
+def test_license_detections_by_brute_force(spark):
+    rng = random.Random(11)
+    rules = licenses.default_rules()
+    samples = [matching(r.pattern, rng) for r in rules]
+    texts = [" ".join(rng.choice([*rng.choices(samples, k=3), "word", "licensed under the", "version 2 0", "license"]) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    texts += samples + [None, "", "é" * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for r in licenses.detect_licenses(docs).collect():
+        want, score = brute_licenses(texts[r.doc_id], rules)
+        assert sorted((d.start, d.end, d.label) for d in r.detections) == want
+        assert abs(r.score - score) < 1e-9 and r.labels == ",".join(sorted({x for _, _, x in want}))
+        n += len(want)
+    assert n > 1500
+
+
+def test_each_match_holds_its_keyword():
+    rng = random.Random(1)
+    for r in licenses.default_rules():
+        for _ in range(40):
+            assert f" {r.keyword}" in " " + matching(r.pattern, rng), r
+
+
+def test_one_long_text_of_detections_is_swept_in_seconds(spark):
+    text = "all rights reserved foo " * 32_000
+    docs = spark.createDataFrame([(1, "all rights reserved"), (2, text)], "doc_id long, text string")
+    licenses.detect_licenses(docs.where("doc_id = 1")).collect()
+    began = time.perf_counter()
+    row = licenses.detect_licenses(docs).where("doc_id = 2").select("n_words", F.size("detections").alias("n"), "labels").first()
+    assert tuple(row) == (128_000, 32_000, "all-rights-reserved") and time.perf_counter() - began < 20
+
+
 # -- decontamination ----------------------------------------------------------
 
 
