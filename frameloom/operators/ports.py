@@ -98,9 +98,9 @@ def classify_brightness(frame: Column, maximum: float = 10.0, source: str = "wor
     )
 
 
-def classify_length(frame: Column, label: str = "seen", unit: str | None = "bytes", source: str = "worker:touch") -> Column:
+def classify_length(frame: Column, label: str = "seen", source: str = "worker:touch", details: str | None = None) -> Column:
     n = F.octet_length(frame.getField("payload"))
-    return F.when(frame.isNotNull(), classification(F.lit(label), n, unit, F.lit(None).cast("string"), source))
+    return F.when(frame.isNotNull(), classification(F.lit(label), n, "bytes", F.lit(details).cast("string"), source))
 
 
 def invert(frame: Column) -> Column:
@@ -112,9 +112,10 @@ def counted(df: DataFrame, port: str, name: str, cycle: str = "cycle_index", blo
     """The stateful counter: how many messages ``port`` had up to each cycle.
 
     Cycles are counted inside blocks, and blocks start from the counts before
-    them, so no task sees the whole stream.
+    them, so no task sees the whole stream. Rows without a cycle come last, and
+    rows that share a cycle have the count of the last of them.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(cycle) / block))
+    blocks = df.withColumn("_block", F.coalesce(F.floor(F.col(cycle) / block), F.lit((1 << 63) - 1)))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocks.groupBy("_block")
@@ -122,12 +123,12 @@ def counted(df: DataFrame, port: str, name: str, cycle: str = "cycle_index", blo
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    upto = Window.partitionBy("_block").orderBy(cycle).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_block").orderBy(F.col(cycle).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     count = F.col("_offset") + F.count(port).over(upto)
     signal = classification(
         F.when(count % 2 == 0, "even").otherwise("odd"),
         count,
-        None,
+        "count",
         F.concat(F.lit("seen "), count.cast("string")),
         "worker:counter",
     )

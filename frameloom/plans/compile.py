@@ -38,7 +38,7 @@ PROCESSORS: dict[str, Module] = {
 CLASSIFIERS: dict[str, Module] = {
     "brightness-classifier": lambda f, c: op.classify_brightness(f, c.get("maximumMean", 10.0)),
     "touch": lambda f, c: op.classify_length(f),
-    "warmup-classifier": lambda f, c: op.classify_length(f, label="ok", unit=None, source="worker:warmup"),
+    "warmup-classifier": lambda f, c: op.classify_length(f, label="ok", source="worker:warmup", details="warmed up"),
     "mean": lambda f, c: F.when(
         f.isNotNull(),
         op.classification(F.lit("seen"), op.mean_byte(f.getField("payload")), "mean", F.lit(None).cast("string"), "worker:mean"),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom import demos
-from frameloom.functions import payloads
+from frameloom.functions import images, payloads
 from frameloom.operators import ports as op
 from frameloom.operators import sinks
-from frameloom.plans.compile import column, compile_graph
+from frameloom.plans.compile import CLASSIFIERS, column, compile_graph
 from frameloom.sources import frames as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,20 +199,38 @@ def processor_brightness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded() -> Column:
-    """A measured mean that fails to decode on every seventh event."""
+    """A measured mean that fails on every seventh event."""
     return F.when(F.col("cycle_index") % 7 != 0, F.col("value"))
 
 
-@query("processor_dark_filter", E + "SELECT cycle_index FROM e WHERE event_id % 7 <> 0 AND value >= 18")
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as small pictures, a bitmap or a PNG by turns, as bright as the
+    event's value; those of every seventh event are cut short."""
+    f = src.event_frames(_read(spark, sf_dir, "events"))
+    level = F.least(F.greatest(F.floor("value"), F.lit(0)), F.lit(255)).cast("int")
+    odd = F.col("cycle_index") % 2 == 1
+    kind = F.when(odd, "image/png").otherwise("image/bmp")
+    drawn = images.drawn(level, kind)
+    payload = F.when(F.col("cycle_index") % 7 == 0, F.substring(drawn, 1, 40)).otherwise(drawn)
+    f = f.withColumns({"content_type": kind, "payload": payload})
+    return f.select("cycle_index", op.frame_port(f).alias("frame"))
+
+
+LEVEL = "least(greatest(floor(value), 0), 255)"
+
+
+@query("processor_dark_filter", E + f"SELECT cycle_index FROM e WHERE cycle_index % 7 <> 0 AND {LEVEL} >= 18")
 def processor_dark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _events(spark, sf_dir)
-    return wide.select("cycle_index", op.not_dark(F.col("frame"), _decoded()).alias("f")).where("f is not null").select("cycle_index")
+    frame = F.col("frame")
+    kept = _pictures(spark, sf_dir).select("cycle_index", op.not_dark(frame, images.decoded_mean(frame)).alias("f"))
+    return kept.where("f is not null").select("cycle_index")
 
 
-@query("processor_black_check", E + "SELECT cycle_index FROM e WHERE event_id % 7 = 0 OR value <= 40")
+@query("processor_black_check", E + f"SELECT cycle_index FROM e WHERE cycle_index % 7 = 0 OR {LEVEL} <= 40")
 def processor_black_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _events(spark, sf_dir)
-    return wide.select("cycle_index", op.is_black(F.col("frame"), _decoded()).alias("f")).where("f is not null").select("cycle_index")
+    frame = F.col("frame")
+    kept = _pictures(spark, sf_dir).select("cycle_index", op.is_black(frame, images.decoded_mean(frame)).alias("f"))
+    return kept.where("f is not null").select("cycle_index")
 
 
 # -- classifiers and transformers ---------------------------------------------
@@ -242,11 +260,27 @@ def classify_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("cycle_index", op.classify_length(op.frame_port(f)).alias("class")).select("cycle_index", *FIELDS[:3])
 
 
-@query("classify_counter_route", E + "SELECT cycle_index, 'even' AS class_label, cycle_index + 1 AS seen FROM e WHERE (cycle_index + 1) % 2 = 0")
+@query("classify_warmup", D + "SELECT cycle_index, 'ok' AS class_label, n::DOUBLE AS measurement, 'bytes' AS unit, 'warmed up' AS details FROM m")
+def classify_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _documents(spark, sf_dir)
+    return f.select("cycle_index", CLASSIFIERS["warmup-classifier"](op.frame_port(f), {}).alias("class")).select("cycle_index", *FIELDS)
+
+
+@query("classify_mean", D + "SELECT cycle_index, 'seen' AS class_label, CASE WHEN n > 0 THEN mean END AS measurement, 'mean' AS unit FROM m")
+def classify_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _documents(spark, sf_dir).withColumn("n", F.octet_length("payload"))
+    made = f.select("cycle_index", "n", CLASSIFIERS["mean"](op.frame_port(f), {}).alias("class"))
+    return made.select("cycle_index", "class.class_label", F.when(F.col("n") > 0, F.col("class.measurement")).alias("measurement"), "class.unit")
+
+
+@query("classify_counter_route", E + """SELECT cycle_index, 'even' AS class_label, cycle_index + 1 AS seen, 'count' AS unit,
+  'seen ' || (cycle_index + 1) AS details FROM e WHERE (cycle_index + 1) % 2 = 0""")
 def classify_counter_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = op.counted(_events(spark, sf_dir), "frame", "class", block=1 << 12)
     even = op.route(F.col("frame"), F.col("class"), ("even",))["even"]
-    return wide.where(even.isNotNull()).select("cycle_index", "class.class_label", F.col("class.measurement").cast("long").alias("seen"))
+    return wide.where(even.isNotNull()).select(
+        "cycle_index", "class.class_label", F.col("class.measurement").cast("long").alias("seen"), "class.unit", "class.details"
+    )
 
 
 @query("transform_invert", D + "SELECT cycle_index, md5(translate(hex(payload), '0123456789ABCDEF', 'FEDCBA9876543210')) AS digest FROM d")
@@ -448,45 +482,46 @@ def _sink_counts(wide: DataFrame, sinks_of: dict[str, str]) -> DataFrame:
     return wide.agg(*[F.count(F.col(port)).alias(name) for name, port in sinks_of.items()])
 
 
-@query("brightness_demo", D + f"SELECT {LABELS}, count(*) AS inverted, sum(255 * n - coalesce(s, 0))::BIGINT AS inverted_sum FROM m")
+@query("brightness_demo", D + f"SELECT {LABELS}, (sum(255 * n - s) FILTER (n > 0 AND mean <= 94.0))::BIGINT AS inverted_sum FROM m")
 def brightness_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = compile_graph(demos.BRIGHTNESS, {"cam": _documents(spark, sf_dir)}).frame
+    wide = compile_graph(demos.SORTING, {"feed": _documents(spark, sf_dir)}).frame
     return wide.agg(
-        F.count("route__black").alias("black"),
-        F.count("route__ok").alias("ok"),
-        F.count("invert__frame").alias("inverted"),
-        F.sum(payloads.byte_sum(F.col("invert__frame.payload"))).alias("inverted_sum"),
+        F.count("flip__frame").alias("black"),
+        F.count("lanes__ok").alias("ok"),
+        F.sum(payloads.byte_sum(F.col("flip__frame.payload"))).alias("inverted_sum"),
     )
 
 
-@query("inspection_demo", D + f"SELECT {LABELS}, (count(*) // 2)::BIGINT AS sampled "
-    "FROM (SELECT m.*, m.cycle_index + p.range * count(*) OVER (PARTITION BY p.range) AS c FROM m, range(0, 5) p) WHERE c < 900")
+@query("inspection_demo", D + f"SELECT {LABELS}, count(*) AS sampled "
+    "FROM (SELECT m.*, m.cycle_index + p.range * count(*) OVER (PARTITION BY p.range) AS c FROM m, range(0, 3) p) WHERE c % 2 = 1")
 def inspection_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = compile_graph(demos.INSPECTION, {"cam": _documents(spark, sf_dir)}, cycles=900).frame
-    return _sink_counts(wide, {"black": "route__black", "ok": "route__ok", "sampled": "sample__even"})
+    """Three passes over all documents; the loop rewinds its source twice."""
+    documents = _documents(spark, sf_dir)
+    wide = compile_graph(demos.SAMPLING, {"feed": documents}, cycles=3 * documents.count()).frame
+    return _sink_counts(wide, {"black": "lanes__black", "ok": "lanes__ok", "sampled": "keep__even"})
 
 
 @query(
     "value_demo",
-    E + """SELECT cycle_index, 'B2' AS one, 2::BIGINT AS many FROM e""",
+    E + """SELECT cycle_index, 'm5' AS one, 5::BIGINT AS many FROM e""",
 )
 def value_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = compile_graph(demos.VALUES, {"cam": src.event_frames(_read(spark, sf_dir, "events"))}).frame
+    wide = compile_graph(demos.NARROWING, {"feed": src.event_frames(_read(spark, sf_dir, "events"))}).frame
     return wide.select(
         "cycle_index",
-        F.get_json_object("pickone__selected.payload", "$.serial").alias("one"),
-        F.size("pickmany__selected.payload").cast("long").alias("many"),
+        F.get_json_object("chosen__selected.payload", "$.tag").alias("one"),
+        F.size("inhall__selected.payload").cast("long").alias("many"),
     )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brightness graph, frame by frame: its route and its inverse's digest."""
-    wide = compile_graph(demos.BRIGHTNESS, {"cam": _documents(spark, sf_dir)}).frame
+    """The sorting graph, frame by frame: its lane and the inverse's digest."""
+    wide = compile_graph(demos.SORTING, {"feed": _documents(spark, sf_dir)}).frame
     return wide.select(
         "cycle_index",
-        "cam__frame.camera_id",
-        F.col("bright__class.class_label").alias("label"),
-        F.col("bright__class.measurement").alias("mean_byte"),
-        F.when(F.col("route__black").isNotNull(), "black").when(F.col("route__ok").isNotNull(), "ok").alias("route"),
-        F.md5("invert__frame.payload").alias("inverted_md5"),
+        "feed__frame.camera_id",
+        F.col("gauge__class.class_label").alias("label"),
+        F.col("gauge__class.measurement").alias("mean_byte"),
+        F.when(F.col("lanes__black").isNotNull(), "black").when(F.col("lanes__ok").isNotNull(), "ok").alias("route"),
+        F.md5("flip__frame.payload").alias("inverted_md5"),
     )

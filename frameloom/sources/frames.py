@@ -34,12 +34,17 @@ def content_type(file_name: Column) -> Column:
 
 
 def ordinal(df: DataFrame, by: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Number rows from 0 in the order of the integer column ``by``.
+    """Number rows from 0 in the order of the integer column ``by``, null last;
+    rows that tie have numbers of their own, in any order.
 
     Rows are numbered inside blocks of ids, and blocks get an offset from the
-    counts before them: only the table of counts is sorted as a whole.
+    counts before them: only the table of counts is sorted as a whole. Blocks
+    are as wide as ids are sparse, so that there is about one for each ``block``
+    rows; for that the least and the largest id are asked for first.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(by) / block))
+    low, high, n = df.agg(F.min(by), F.max(by), F.count("*")).first()
+    width = block if low is None else max(1, (int(high) - int(low) + 1) // max(1, -(-n // block)))
+    blocks = df.withColumn("_block", F.coalesce(F.floor((F.col(by).cast("decimal(38, 0)") - F.lit(low or 0)) / width), F.lit((1 << 63) - 1)))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocks.groupBy("_block")
@@ -47,7 +52,7 @@ def ordinal(df: DataFrame, by: str, name: str, block: int = BLOCK) -> DataFrame:
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(by)) - 1
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(F.col(by).asc_nulls_last())) - 1
     return blocks.withColumn("_inside", inside).join(offsets, "_block").withColumn(
         name, F.col("_offset") + F.col("_inside")
     ).drop("_block", "_inside", "_offset")

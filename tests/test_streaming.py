@@ -1,10 +1,11 @@
+import itertools
 import json
 
 from pyspark.sql import functions as F
 
 from frameloom.plans.compile import compile_graph
 from frameloom.sources.frames import FRAME
-from frameloom.streaming.runs import counted_stream, run_to_end
+from frameloom.streaming.runs import counted_stream, restart_pauses, run_to_end
 
 GRAPH = json.dumps(
     {
@@ -81,3 +82,27 @@ def test_the_counter_goes_on_after_a_failure(spark, tmp_path):
     by_camera = counted_stream(spark.readStream.schema(FRAME).parquet(folder), by="camera_id")
     run_to_end(by_camera, lambda df, _: df.write.mode("append").parquet(out + "2"), checkpoint + "2")
     assert spark.read.parquet(out + "2").groupBy("camera_id").agg(F.max("count").alias("n")).where("n <> 5").count() == 0
+
+
+def test_pauses_before_restarts():
+    first = lambda setting: list(itertools.islice(restart_pauses(setting), 6))
+    assert first({"mode": " Reconnect", "maxRetries": 3, "backoffMs": 100, "maxBackoffMs": 150}) == [0.1, 0.15, 0.15]
+    assert first("forever") == [0.5, 1.0, 2.0, 4.0, 5.0, 5.0] and first({"mode": "retry", "limit": 1}) == [0.5]
+    assert first("fail") == first(None) == first({}) == first("nonsense") == first({"mode": "restart", "limit": 2, "backoffMs": -1})[2:] == []
+
+
+def test_a_failing_run_is_restarted_from_its_checkpoint(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    write_frames(spark, folder, 0, 8)
+    stream = counted_stream(spark.readStream.schema(FRAME).parquet(folder))
+    failures, naps = [1, 2], []
+
+    def shaky(df, _):
+        if failures:
+            failures.pop()
+            raise RuntimeError("the sink broke")
+        df.write.mode("append").parquet(out)
+
+    on_error = {"mode": "restart", "limit": 2, "backoffMs": 10}
+    assert run_to_end(stream, shaky, checkpoint, on_error=on_error, sleep=naps.append) == 2 and naps == [0.01, 0.02]
+    assert sorted(r["count"] for r in spark.read.parquet(out).collect()) == list(range(1, 9))

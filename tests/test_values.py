@@ -8,7 +8,6 @@ from frameloom.functions import payloads, values
 from frameloom.plans.binding import LiveValues, Store, bind, chained, from_environment
 from frameloom.plans.compile import KINDS
 from frameloom.plans.graph import read_graph
-from frameloom.plans.policy import FailurePolicy
 
 JSON = st.recursive(
     st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(),
@@ -119,25 +118,6 @@ def test_live_values_are_checked():
     assert live.try_set("v", 7) is None and live.get("v") == 7 and seen == [("v", 7)]
 
 
-def test_failure_policy():
-    p = FailurePolicy.of({"onError": {"mode": "Reconnect", "maxRetries": 2, "backoffMs": 100, "maxBackoffMs": 150}})
-    assert p == FailurePolicy(True, 2, 100, 150) and [p.pause(i) for i in (1, 2, 3)] == [0.1, 0.15, 0.15]
-    assert FailurePolicy.of({"onError": "nonsense"}) == FailurePolicy() and not FailurePolicy().allows(1)
-    assert FailurePolicy.of({"onError": "fail"}, p) == FailurePolicy(False, 2, 100, 150)
-    calls, naps = [], []
-
-    def work():
-        calls.append(1)
-        if len(calls) < 3:
-            raise OSError("gone")
-        return "ok"
-
-    assert p.run(work, naps.append) == "ok" and naps == [0.1, 0.15]
-    calls.clear()
-    with pytest.raises(OSError):
-        FailurePolicy(True, 1).run(work, naps.append)
-
-
 @given(
     st.sampled_from(payloads.MEDIA_TYPES),
     st.sampled_from(payloads.ELEMENT_TYPES),
