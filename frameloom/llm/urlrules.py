@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import ascii_lower
+from frameloom.llm.shared import ascii_lower, written
 
 #: Hex digits of the joined prefix: 32 bits, as in update protocols for lists.
 PREFIX_HEX = 8
@@ -50,12 +50,13 @@ def judge_urls(
 ) -> DataFrame:
     """``pages`` (all rows of it) with host, path, rule and verdict.
 
-    ``rules`` has the columns host, path and verdict. The expansion works on
-    distinct host and path pairs, so a host that holds a third of all pages is
-    expanded once for each of its paths only.
+    ``rules`` has the columns host, path and verdict; a rule without a host fits
+    nothing. The expansion works on distinct host and path pairs, so a host that
+    holds a third of all pages is expanded once for each of its paths only.
+    Columns of ``pages`` that are called like one of the four new ones are replaced.
     """
     host, path = split_url(F.col(url))
-    pages = pages.withColumns({"host": host, "path": path})
+    pages = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
 
     signed = rules.where(F.col("host") != "").select(
         F.concat("host", "path").alias("rule"),
@@ -98,9 +99,12 @@ def judge_urls(
             )
         ).alias("best")
     )
-    return pages.join(best, ["host", "path"], "left").withColumns(
-        {
-            "rule": F.col("best.rule"),
-            "verdict": F.coalesce("best.verdict", F.lit(default)),
-        }
-    )
+    # Only pairs that a rule fits are written, and the join below is one of plain
+    # tables, so that Spark can split a page that a third of all rows name. Rows
+    # without a host take no part in it.
+    best = written(best.select("host", "path", "best.rule", "best.verdict"), "best-rules")
+    columns = pages.columns
+    some = pages.where(F.col("host") != "").join(best, ["host", "path"], "left")
+    none = pages.where(F.col("host") == "").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    judged = some.select(*columns, "rule", "verdict").unionByName(none)
+    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
