@@ -9,8 +9,11 @@ overlap lacks a hit (a test goes through all placements of substitutions).
 Tokens are runs of letters and digits in lower case, so punctuation, case and
 line breaks make no difference.
 
-Defined cases: null and empty texts, and items or documents of fewer than
-``LENGTH`` tokens, hold no overlap. Repeated items are each reported. Rows that
+An item of fewer tokens than that, but ``LEAST`` of them, is looked for as a whole,
+all of its tokens in a row: windows of its length are hashed, joined and compared.
+
+Defined cases: null and empty texts, items of fewer than ``LEAST`` tokens, and
+documents shorter than what is looked for, hold no overlap. Texts are read whole, whatever their length. Repeated items are each reported. Rows that
 share a document id (null included) share their hits. An empty benchmark or
 document table gives rows without hits, or no rows. Extra columns are kept out
 of the result, so their names can't clash.
@@ -25,9 +28,12 @@ from pyspark.sql import functions as F
 LENGTH, SUBSTITUTIONS = 13, 2
 MASKS = ("11010111", "11110011")
 SPAN = max(map(len, MASKS))
+#: Fewer tokens than these are no passage, and any text may hold them.
+LEAST = 5
 #: What separates tokens.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Seeds up to this number are broadcast; beyond, hashes are joined by shuffle.
+#: Seeds up to this number, each with at most 2 * LENGTH - SPAN tokens, are
+#: broadcast; beyond, hashes are joined by shuffle.
 BROADCAST_SEEDS = 200_000
 
 
@@ -80,8 +86,15 @@ def find_overlaps(
     """(doc_id, item_id, shift): verified alignments, one row each."""
     own = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).distinct()
-    seeds = seeded(items, "b", "j").select("seed", "item_id", "b", "j")
-    n = items.where(F.size("b") >= LENGTH).agg(F.sum(F.size("b") - SPAN + 1)).first()[0] or 0
+    # A seed carries the tokens that its verification reads and no more, so that
+    # the number of seeds bounds what a broadcast of them holds.
+    seeds = seeded(items, "b", "j").select("seed", "item_id", "j", _around("b", "j").alias("b"))
+    n, shortest, short = items.agg(
+        F.sum(F.when(F.size("b") >= LENGTH, F.size("b") - SPAN + 1)),
+        F.sort_array(F.collect_set(F.when(F.size("b").between(LEAST, LENGTH - 1), F.size("b")))),
+        F.count_if(F.size("b").between(LEAST, LENGTH - 1)),
+    ).first()
+    n = n or 0
     at = seeded(own, "w", "i")
     if n * len(MASKS) <= broadcast_seeds:
         met = at.join(F.broadcast(seeds), "seed")
@@ -92,23 +105,43 @@ def find_overlaps(
             .join(seeds.select("seed", "item_id", "j"), "seed")
             .select("doc_id", "i", "item_id", "j")
         )
+        tokens_of = items.select("item_id", F.col("b").alias("all"))
         met = (
             found.withColumnRenamed("doc_id", "hit")
             .join(own, F.col("hit").eqNullSafe(F.col("doc_id")))
             .drop("hit")
-            .join(items, "item_id")
+            .join(tokens_of, "item_id")
+            .withColumn("b", _around("all", "j"))
         )
     # Verification must stay above the join and the cutting out of words. As the
     # join's condition it would keep the join out of the generated loop over
     # windows, and rows of all windows with all words would pile up before it; a
     # column of ids that it reads is what Spark won't push it past.
     near = met.select(
-        "doc_id", "item_id", "i", "j", _around("w", "i").alias("w"), _around("b", "j").alias("b"),
+        "doc_id", "item_id", "i", "j", _around("w", "i").alias("w"), "b",
         F.monotonically_increasing_id().alias("hit"),
     )
     inside = [F.least(F.col(x), F.lit(LENGTH - SPAN)) for x in "ij"]
     verified = near.where((F.col("hit") >= 0) & overlaps(F.col("w"), F.col("b"), *inside))
-    return verified.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    hits = verified.select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"))
+    if short:
+        few = short <= broadcast_seeds
+        hits = hits.unionByName(_whole_items(own, items, shortest, few))
+    return hits.distinct()
+
+
+def _whole_items(own: DataFrame, items: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
+    """(doc_id, item_id, shift) of items of fewer than ``LENGTH`` tokens, which
+    have one of ``lengths``: all their tokens, in a row."""
+    small = items.where(F.size("b").between(LEAST, LENGTH - 1)).select("item_id", "b", F.xxhash64("b").alias("seed"))
+    n = F.size("w")
+    sizes = F.array(*[F.lit(x) for x in lengths])
+    at = own.withColumn("size", F.explode(F.filter(sizes, lambda x: x <= n)))
+    at = at.withColumn("shift", F.explode(F.sequence(F.lit(0), n - F.col("size"))))
+    part = F.slice("w", F.col("shift") + 1, F.col("size"))
+    at = at.select("doc_id", "shift", part.alias("part")).withColumn("seed", F.xxhash64("part"))
+    met = at.join(F.broadcast(small) if broadcast else small, "seed").where(F.col("part") == F.col("b"))
+    return met.select("doc_id", "item_id", "shift")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:

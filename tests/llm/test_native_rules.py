@@ -156,7 +156,7 @@ def test_masks_catch_every_placement_of_substitutions():
 def test_overlaps_match_brute_force_by_broadcast_and_by_shuffle(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou")
-    items = [[word() for _ in range(rng.choice([5, 13, 14, 30, 40]))] for _ in range(25)]
+    items = [[word() for _ in range(rng.choice([3, 5, 9, 13, 14, 30, 40]))] for _ in range(25)]
     docs = []
     for i in range(160):
         t = [word() for _ in range(rng.randrange(0, 60))]
@@ -183,6 +183,8 @@ def test_overlaps_match_brute_force_by_broadcast_and_by_shuffle(spark):
                 for q in range(len(b) - 12):
                     if sum(x == y for x, y in zip(w[p : p + 13], b[q : q + 13])) >= 11:
                         found.add((k, p - q))
+            if 5 <= len(b) < 13:
+                found |= {(k, p) for p in range(len(w) - len(b) + 1) if w[p : p + len(b)] == b}
         want[i] = want.get(i, set()) | found
     d = spark.createDataFrame(docs, "doc_id long, text string, seed string").withColumn("j", F.lit(0))
     b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(77, None)], "item_id long, text string")
@@ -264,4 +266,9 @@ def test_urls_by_brute_force(spark):
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == brute(r.url)
     assert urlrules.judge_urls(pages.limit(0), rules).count() == 0
+    clash = pages.withColumns({"rule": F.lit(1), "verdict": F.lit(2), "host": F.lit(3), "best": F.lit(4)})
+    assert {r.verdict for r in urlrules.judge_urls(clash, rules).collect()} == {"allow", "block"}
+    path = "/es/" + "x" * 300_000
+    long = spark.createDataFrame([(1, "http://example.org" + path)] * 3, "page_id long, url string")
+    assert {(len(r.path), r.rule) for r in urlrules.judge_urls(long, rules).collect()} == {(len(path), "example.org/es/")}
     assert urlrules.judge_urls(pages, rules.limit(0)).where("rule is not null").count() == 0
