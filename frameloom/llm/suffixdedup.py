@@ -1,4 +1,5 @@
-"""Bytes that repeat a string of an earlier document, by prefix doubling.
+"""Bytes that repeat a string of an earlier document, by sorted ranks of thinned
+positions.
 
 A byte goes if a string of ``threshold`` bytes that covers it also starts in a
 document with a smaller id. Sorting all positions of a corpus would move it
@@ -6,21 +7,26 @@ several times over, so positions are thinned first in a way that loses no
 match: in every window of ``threshold`` bytes the position with the least hash
 of its next ``SEED`` bytes is an anchor. Equal windows have equal anchors.
 
-Anchors then go through prefix doubling. Ranks are 64-bit names of strings:
+Anchors and windows then go through two sorted rounds of prefix doubling. Ranks
+are 64-bit names (hashes) of strings rather than places in the order:
 
-* offset 0: Spark sorts anchors by the name of their first ``SEED`` bytes.
-  A name that only one document holds is unique, and its anchors are done.
-* offset ``SEED``: (name, name of the neighbouring bytes) on either side is the
-  pair of the doubled length; an anchor that shares neither pair is unique.
-* past the threshold: an anchor whose whole reach (all windows that it stands
-  for) has the same name as in an earlier document is a match, and done.
-* what is left are anchors where copies begin or end. Their windows, position
-  by position, are sorted by the pair of names of both halves, which is the
-  threshold itself, and ranked for the last time.
+* length ``SEED``: Spark sorts anchors by the name of their first bytes. A name
+  that only one document holds is unique, and its anchors are done. So are those
+  whose whole reach (all windows that they stand for) has the same name as in an
+  earlier document: a match past the threshold. Of the others, the windows are
+  open that have at least half of their remaining bytes on a side whose next
+  bytes (by an 8-bit check, which only errs towards open) others share.
+* length ``threshold``: each open window is a pair of ranks, of its first half
+  and of the half at that offset. Spark sorts the pairs, and equal ones match.
+
+So lengths grow from ``SEED`` to ``threshold`` in one step of halves rather than
+by doubling at all positions, which would sort every byte's rank pair three times.
 
 Copies are dropped from the sorting as soon as they are known: each task does
 so for its own rows before the shuffle, so a string that a third of all
-documents hold arrives as one row from each batch.
+documents hold arrives as one row from each batch. A name that many documents
+hold in different surroundings is dealt to several tasks by its reach, and a task
+holds no more than ``PIECE`` rows of a name at once.
 
 Defined cases: null texts are empty. Texts are UTF-8 bytes and whole. Matches
 never cross documents, and repeats inside a document don't count. Of rows that
@@ -49,6 +55,8 @@ SEED = 16
 _AT, _WIDTH, _ANCHOR, _LEFT = 31, 23, 16, 8
 #: Documents that a task looks at together, which bounds what it holds.
 TOGETHER = 4096
+#: Rows of one name that a task holds at most, and tasks for a hot name.
+PIECE, SALTS = 1 << 18, 64
 ROWS = "name long, reach long, doc long, place long"
 SPANS = "doc long, start long, stop long, open boolean"
 
@@ -195,21 +203,34 @@ def _anchor_rows(threshold: int):
     return run
 
 
-def _by_name(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Sorted rows in pieces that keep all rows of a first column together."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
+    """(columns, cut, again) of rows sorted by (name, reach, doc), piece by piece.
+
+    A piece keeps the rows of a name together, but for names of more than
+    ``most`` rows, which come in several pieces; ``cut`` marks their rows. To go
+    on from the piece before, such a piece begins with the first of the last
+    equal reaches there, which ``again`` tells.
+    """
     rest: list[np.ndarray] | None = None
+    cut_name, again = None, False
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(columns)]
+        now = [batch.column(i).to_numpy() for i in range(4)]
         if rest is not None:
             now = [np.concatenate([a, b]) for a, b in zip(rest, now)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))
         if cut:
-            yield [x[:cut] for x in now]
-        rest = [x[cut:] for x in now]
+            yield [x[:cut] for x in now], now[0][:cut] == cut_name, again
+            now, cut_name, again = [x[cut:] for x in now], None, False
+        if len(now[0]) > most:
+            cut_name = now[0][-1]
+            yield now, now[0] == cut_name, again
+            first = int(np.searchsorted(now[1], now[1][-1], "left"))
+            now, again = [x[first : first + 1] for x in now], True
+        rest = now
     if rest is not None and len(rest[0]):
-        yield rest
+        yield rest, rest[0] == cut_name, again
 
 
 def _span_batch(doc, start, stop, open_) -> pa.RecordBatch:
@@ -229,37 +250,46 @@ def _shared_by_others(group: np.ndarray, check: np.ndarray, doc: np.ndarray) ->
     return low[at] != high[at]
 
 
-def _rank_anchors(threshold: int):
-    """Spans of anchors that are copies, and of those whose windows are open."""
+def _rank_anchors(threshold: int, hot: np.ndarray):
+    """Spans of anchors that are copies, and of those whose windows are open.
+
+    Names in ``hot`` are dealt by their reaches too, so this task need not have
+    all rows of one; as with names too large for a piece, all their windows that
+    aren't known to be copies are open.
+    """
+    most = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, reach, doc, place in _by_name(batches, 4):
-            known = (name & 1) == 0
+        for (name, reach, doc, place), large, again in _pieces(batches, most):
+            fresh = np.ones(len(name), bool)
+            fresh[:1] = not again
+            known = ((name & 1) == 0) & fresh
             if known.any():
                 yield _span_batch(doc[known], place[known], reach[known], np.zeros(known.sum(), bool))
-                name, reach, doc, place = (x[~known] for x in (name, reach, doc, place))
+                name, reach, doc, place, large, fresh = (x[~known] for x in (name, reach, doc, place, large, fresh))
             if not len(name):
                 continue
+            large = large | np.isin(name, hot)
             group = np.cumsum(np.append(False, name[1:] != name[:-1]))
             # unique names: one document only
             begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
             several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
-            live = several[group]
+            live = several[group] | large
             if not live.any():
                 continue
-            reach, doc, place, group = reach[live], doc[live], place[live], group[live]
+            reach, doc, place, group, large, fresh = (x[live] for x in (reach, doc, place, group, large, fresh))
             copy = _split_copies([group, reach], doc)
             bits = place.view(U64)
             start = (bits >> U64(_AT)).astype(np.int64)
             stop = start + ((bits >> U64(_WIDTH)) & U64(0xFF)).astype(np.int64) - 1 + threshold
             left = ((bits >> U64(_LEFT)) & U64(0xFF)).astype(np.int64)
             right = (bits & U64(0xFF)).astype(np.int64)
-            # pairs of the doubled length; the first of equal reaches stands for all
+            # sides shared with others; the first of equal reaches stands for all
             first = ~copy
             by_left, by_right = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             g, d = group[first], doc[first]
-            by_left[first] = _shared_by_others(g, left[first], d)
-            by_right[first] = _shared_by_others(g, right[first], d)
+            by_left[first] = _shared_by_others(g, left[first], d) | large[first]
+            by_right[first] = _shared_by_others(g, right[first], d) | large[first]
             # a window with half of the rest on one side needs that side shared
             anchor = start + ((bits >> U64(_ANCHOR)) & U64(0x7F)).astype(np.int64)
             rest = threshold - SEED
@@ -269,12 +299,49 @@ def _rank_anchors(threshold: int):
             open_ = (by_left | by_right) & (begin_at <= last)
             start = np.where(open_, begin_at, start)
             stop = np.where(open_, last + threshold, stop)
-            keep = copy | open_
+            keep = (copy | open_) & fresh
             yield _span_batch(doc[keep], start[keep], stop[keep], open_[keep])
 
     return run
 
 
+def _seed_names(threshold: int):
+    """The distinct names of a document's anchors, for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            data, offs = tn.utf8(batch.column(0))
+            for a, b in tn.blocks(offs):
+                part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                doc, _, _, anchor = anchors(part, at, threshold)
+                p = tn.prefix_hashes(part)
+                _, inv = tn.powers(len(part) + 1)
+                name = _names(p, inv, anchor, anchor + SEED) | U64(1)
+                order = np.lexsort((name, doc))
+                name, doc = name[order], doc[order]
+                fresh = np.ones(len(name), bool)
+                fresh[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(name[fresh].view(np.int64))], names=["name"])
+
+    return run
+
+
+def hot_names(texts: DataFrame, threshold: int, sample: int = 20_000, share: float = 0.05) -> list[int]:
+    """Names that more than ``share`` of about ``sample`` documents, drawn by a
+    hash of their texts, hold: some thousands at most.
+
+    They only say which names to deal to several tasks. Results don't depend on
+    them, and a name that is missed costs a task more rows, not more memory.
+    """
+    one_in = max(1, texts.count() // sample)
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    n = drawn.count() if one_in > 1 else 0
+    if n < 1000:
+        return []
+    found = drawn.select("text").mapInArrow(_seed_names(threshold), "name long").groupBy("name").agg(F.count("*").alias("n"))
+    return [r.name for r in found.where(F.col("n") > share * n).select("name").collect()]
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the shuffles that move them; the columns
     (doc, text, carried) become (doc, packed, carried)."""
@@ -328,12 +395,14 @@ def _window_rows(threshold: int):
 
 def _rank_windows(threshold: int):
     """Spans of windows that start in an earlier document too."""
+    most = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, doc, w in _by_name(batches, 4):
+        for (a, b, doc, w), _, again in _pieces(batches, most):
             known = (a & 1) == 0
             copy = ~known & _split_copies([a, b], doc)
             keep = known | copy
+            keep[:1] &= not again
             stop = np.where(known, b, w + threshold)
             d, s, e = _merged(doc[keep], w[keep], stop[keep])
             yield _span_batch(d, s, e, np.zeros(len(d), bool))
@@ -440,15 +509,20 @@ def dedup_substrings(
     )
     texts, numbers = _numbered(own)
 
-    named = texts.select("doc", "text").mapInArrow(_anchor_rows(threshold), ROWS).repartition("name").sortWithinPartitions("name")
-    spans = written(named.mapInArrow(_rank_anchors(threshold), SPANS), "anchor-spans")
+    order = ("name", "reach", "doc")
+    named = texts.select("doc", "text").mapInArrow(_anchor_rows(threshold), ROWS)
+    hot = hot_names(texts, threshold)
+    salt = [F.when(F.col("name").isin(hot), F.pmod("reach", F.lit(SALTS))).otherwise(0)] if hot else []
+    named = named.repartition("name", *salt).sortWithinPartitions(*order)
+    spans = written(named.mapInArrow(_rank_anchors(threshold, np.array(hot, np.int64)), SPANS), "anchor-spans")
 
     kind = texts.schema["carried"].dataType.simpleString()
     packed = texts.select("doc", "text", "carried").mapInArrow(_packed, f"doc long, packed binary, carried {kind}")
     place = F.col("start") * 256 + (F.col("stop") - F.col("start") - threshold + 1)
     open_ = spans.where("open").groupBy("doc").agg(F.collect_list(place).alias("places"))
     windows = packed.join(open_, "doc").select("doc", "packed", "places").mapInArrow(_window_rows(threshold), ROWS)
-    ranked = windows.repartition("name").sortWithinPartitions("name")
+    # By the pair, so that only equal windows meet, whatever their halves share.
+    ranked = windows.repartition("name", "reach").sortWithinPartitions(*order)
     more = written(ranked.mapInArrow(_rank_windows(threshold), SPANS), "window-spans")
 
     all_spans = spans.where("not open").unionByName(more)

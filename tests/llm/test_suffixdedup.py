@@ -85,3 +85,39 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert suffixdedup.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_pieces_and_hot_names_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    phrase = "sixteen letters!" + "and some more of it"
+    texts = corpus(120, 5, "abcd") + ["".join(rng.choices("xyz ", k=rng.randrange(60))) + phrase + rng.choice(["", "tail of the phrase " * 2]) for _ in range(200)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    monkeypatch.setattr(suffixdedup, "PIECE", 5)
+    assert found(suffixdedup.dedup_substrings(docs)) == want
+    names = docs.select("text").mapInArrow(suffixdedup._seed_names(50), "name long").groupBy("name").count()
+    hot = [r.name for r in names.where("count > 5").collect()]
+    assert len(hot) > 5
+    monkeypatch.setattr(suffixdedup, "hot_names", lambda texts, threshold: hot)
+    assert found(suffixdedup.dedup_substrings(docs)) == want
+
+
+def test_a_hundred_thousand_rows_with_one_string_in_common(spark):
+    rng = random.Random(8)
+    side = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30))
+    rows = [(i, side() + "the common words and some more that all have" + side()) for i in range(100_000)]
+    for i in range(0, 100_000, 97):
+        rows[i] = (i, side()[:9] + rows[(i * 7 + 1) % 90_000][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = docs.withColumnRenamed("doc_id", "doc")
+    assert len(suffixdedup.hot_names(texts, 50)) > 0
+    assert found(suffixdedup.dedup_substrings(docs)) == brute(rows)
+
+
+def test_a_text_of_three_megabytes(spark):
+    rng = np.random.default_rng(4)
+    long = bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)).decode()
+    rows = [(2, long), (1, long[1_500_000:1_500_300] + "#" + long[-60:]), (3, long[:70]), (4, long[100:149])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(suffixdedup.dedup_substrings(docs)) == brute(rows)
