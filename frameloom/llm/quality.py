@@ -1,44 +1,46 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 A document's histograms of character classes and of common words are compared
-with those of its language by Jensen-Shannon distance. The reference of a
-language is the sum over all its documents; a language with little text is
-compared with the sum over all languages. Counts that any such filter starts
-from (words, symbols, repeated lines and word windows) are computed too.
+with those of its language by Jensen-Shannon distance. The common words of a
+language are learned: its ``TOP`` most frequent ones, ties by code point. The
+reference histograms are sums over the language's documents (of characters, over
+those that pass the base rule), plus ``PRIOR`` characters or words that are spread
+as over all languages. So the little text of a rare language is drawn towards all
+text, by as much as it is little, and nothing is switched at some size. Counts
+that any such filter starts from (words, symbols, repeated lines and word
+windows) are computed too.
 
 Defined cases: a null or empty text has no words, counts of 0, and fails the
 base rule; a null language is a language of its own. Texts below the minimum
 lengths pass the divergence rules, as their histograms say little. Repeated
-rows each get a row. An empty table gives an empty result. Documents with one
-window repeated throughout take n log n steps, not a product.
+rows each get a row, ids are not looked at, and columns other than the three named
+are not read. An empty table gives an empty result. Documents with one window
+repeated throughout take n log n steps, not a product.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import words, written
+from frameloom.llm.shared import LOWER, UPPER, words, written
 
-#: Common words of English, German, French and Spanish, and the
-#: character classes in the order in which they are taken out of a text.
-COMMON = (
-    "the of and to in is that for "
-    "der die und den das nicht von mit "
-    "le la les et des est que dans "
-    "el los en y por con una para"
-).split()
+#: The character classes of ASCII; what is left of it, and
+#: everything beyond ASCII, are two more.
 CLASSES = {
-    "lower": "[a-z]+",
-    "upper": "[A-Z]+",
-    "space": r"[\x20\x09-\x0D]+",
-    "beyond_ascii": r"[^\x00-\x7F]+",
-    "stop": "[.,]+",
-    "digit": "[0-9]+",
-    "mark": "[!?;:'\"()-]+",
+    "lower": LOWER,
+    "upper": UPPER,
+    "space": " \t\n\x0b\x0c\r",
+    "stop": ".,",
+    "digit": "0123456789",
+    "mark": "!?;:'\"()-",
 }
+GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+#: Common words of a language, and the prior of its histograms.
+TOP, PRIOR = 32, 10_000.0
+#: A word that is common has at least one in so many of its language's words.
+#: Fewer than these can, so few words are left to rank.
+RARE = 2000
 #: Languages become broadcast rows up to this number.
 BROADCAST_LANGUAGES = 10_000
 WINDOW = 5
@@ -87,30 +89,67 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
-def measured(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame:
-    """Counts and histograms of each document; no shuffle."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), body.alias("text"))
-    # Each class is taken out of what is left, so every step reads less.
+def tokens(text: Column) -> Column:
+    """Words in lower case, without punctuation."""
+    return F.array_remove(F.split(F.translate(F.lower(text), GAPS, " " * len(GAPS)), " "), "")
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """(lang, common, ref_common) from rows (lang, text): the most frequent words
+    of each language, and their smoothed counts, with that of all others last."""
+    counts = written(
+        docs.select("lang", F.explode(tokens(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
+        "word-counts",
+    )
+    totals = written(counts.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
+    everything = F.lit(float(totals.agg(F.sum("total")).first()[0] or 1))
+    c, t = counts.alias("c"), totals.alias("t")
+    often = c.join(t, F.col("c.lang").eqNullSafe(F.col("t.lang"))).where(F.col("n") * RARE >= F.col("total"))
+    # Fewer than RARE rows for each language are ranked.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    top = written(often.select("c.lang", "word", "n", "total").withColumn("place", place).where(F.col("place") <= TOP), "common-words")
+    pooled = counts.join(top.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("pooled"))
+    smooth = F.col("n") + PRIOR * F.col("pooled") / everything
+    listed = top.join(pooled, "word").groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.struct("place", "word", smooth.alias("n")))).alias("found"), F.max("total").alias("total")
+    )
+    known = F.aggregate("found", F.lit(0.0), lambda s, x: s + x.n)
+    return listed.select(
+        "lang",
+        F.transform("found", lambda x: x.word).alias("common"),
+        F.concat(F.transform("found", lambda x: x.n), F.array(F.col("total") + PRIOR - known)).alias("ref_common"),
+    )
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Counts and histograms of each row (doc_id, lang, text, common); no shuffle."""
     left, counts = F.col("text"), []
-    for pattern in CLASSES.values():
-        rest = F.regexp_replace(left, pattern, "")
+    # Each class is taken out of what is left, so every step reads less.
+    for characters in CLASSES.values():
+        rest = F.translate(left, characters, "")
         counts.append(F.length(left) - F.length(rest))
         left = rest
-    counts.append(F.length(left))
-    common = rf"\b(?:{'|'.join(COMMON)})\b"
-    hits = F.concat(F.lit("|"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(common), F.lit(0)), "||"), F.lit("|"))
+    beyond = F.length(F.regexp_replace(left, r"[\x00-\x7F]+", ""))
+    counts += [F.length(left) - beyond, beyond]
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.select(
+    common = F.coalesce("common", F.array().cast("array<string>"))
+    known = F.filter("t", lambda x: F.array_contains(common, x))
+    out = docs.withColumn("t", tokens(F.col("text"))).select(
         "doc_id",
         "lang",
         words(F.col("text")).alias("w"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.array(*counts).cast("array<double>").alias("char_counts"),
-        hits.alias("hits"),
+        F.size("t").alias("n_tokens"),
+        common.alias("common"),
+        F.concat(F.lit("|"), F.array_join(known, "||"), F.lit("|")).alias("hits"),
     )
-    each = [(F.length("hits") - F.length(F.replace("hits", F.lit(f"|{x}|")))) / (len(x) + 2) for x in COMMON]
+
+    def times(word: Column) -> Column:
+        mark = F.concat(F.lit("|"), word, F.lit("|"))
+        return (F.length("hits") - F.length(F.replace("hits", mark, F.lit("")))) / F.length(mark)
+
     n = F.size("w")
     windows = F.when(
         n >= WINDOW,
@@ -124,7 +163,8 @@ def measured(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame
         "n_symbols",
         "n_dup_lines",
         "char_counts",
-        F.array(*each).alias("common_counts"),
+        "n_tokens",
+        F.transform("common", times).alias("times"),
         windows.alias("windows"),
     )
     # Most documents repeat no window, and only the others go on to sort them.
@@ -132,9 +172,9 @@ def measured(docs: DataFrame, *, doc_id: str, text: str, lang: str) -> DataFrame
     out = out.withColumn("pairs", F.when(repeats, paired(F.col("windows")))).drop("windows")
     out = out.withColumn("places", repeated_places(F.col("pairs"))).drop("pairs")
     out = out.withColumn("n_repeat_words", F.coalesce(covered_words(F.col("places")), F.lit(0)).cast("long"))
-    out = out.drop("places")
-    other = F.col("n_words") - reduce(lambda a, b: a + b, [F.get("common_counts", i) for i in range(len(COMMON))])
-    return out.withColumn("common_counts", F.concat("common_counts", F.array(F.greatest(other, F.lit(0.0)))))
+    others = F.col("n_tokens") - F.aggregate("times", F.lit(0.0), lambda s, x: s + x)
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.withColumns({"common_counts": F.concat("times", F.array(others)), "base_failed": base}).drop("places", "times", "n_tokens")
 
 
 def rate_quality(
@@ -144,52 +184,47 @@ def rate_quality(
     text: str = "text",
     lang: str = "lang",
     most_char_distance: float = 0.25,
-    most_word_distance: float = 0.28,
+    most_word_distance: float = 0.35,
     least_chars: int = 200,
     least_words: int = 50,
-    least_reference: int = 10_000,
 ) -> DataFrame:
     """One row per document: the counts, both distances, base_failed, kept."""
-    facts = written(measured(docs, doc_id=doc_id, text=text, lang=lang), "quality")
-
-    def sums(name: str, n: int) -> Column:
-        return F.array(*[F.sum(F.get(name, i)) for i in range(n)])
-
-    n_chars, n_common = len(CLASSES) + 1, len(COMMON) + 1
-    by_lang = facts.groupBy("lang").agg(
-        F.sum("n_words").alias("ref_words"),
-        sums("char_counts", n_chars).alias("ref_chars"),
-        sums("common_counts", n_common).alias("ref_common"),
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), body.alias("text"))
+    learned = written(common_words(own).withColumnRenamed("lang", "ref_lang"), "common-words")
+    same = F.col("lang").eqNullSafe(F.col("ref_lang"))
+    few = learned.count() <= BROADCAST_LANGUAGES
+
+    def of_language(references: DataFrame) -> DataFrame:
+        return F.broadcast(references) if few else references
+
+    listed = own.join(of_language(learned.select("ref_lang", "common")), same, "left").drop("ref_lang")
+    facts = written(measured(listed), "quality")
+
+    n_chars = len(CLASSES) + 2
+    by_lang = facts.groupBy(F.col("lang").alias("char_lang")).agg(
+        F.array(
+            *[F.coalesce(F.sum(F.when(~F.col("base_failed"), F.get("char_counts", i))), F.lit(0.0)) for i in range(n_chars)]
+        ).alias("char_sums")
     )
     by_lang = written(by_lang, "references")
-    pooled = by_lang.agg(
-        F.array(*[F.sum(F.get("ref_chars", i)) for i in range(n_chars)]).alias("all_chars"),
-        F.array(*[F.sum(F.get("ref_common", i)) for i in range(n_common)]).alias("all_common"),
-        F.count("*").alias("n"),
-    ).first()
-    small = F.col("ref_words") < least_reference
-
-    def literal(values) -> Column:
-        return F.array(*[F.lit(float(x or 0)) for x in values])
-
-    references = by_lang.select(
-        F.col("lang").alias("ref_lang"),
-        F.when(small, literal(pooled["all_chars"])).otherwise(F.col("ref_chars")).alias("ref_chars"),
-        F.when(small, literal(pooled["all_common"])).otherwise(F.col("ref_common")).alias("ref_common"),
-    )
-    if pooled["n"] <= BROADCAST_LANGUAGES:
-        references = F.broadcast(references)
-    judged = facts.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumns(
-        {
-            "char_distance": distance(F.col("char_counts"), F.col("ref_chars")),
-            "word_distance": distance(F.col("common_counts"), F.col("ref_common")),
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        }
+    pooled = by_lang.agg(*[F.coalesce(F.sum(F.get("char_sums", i)), F.lit(0.0)) for i in range(n_chars)]).first()
+    prior = F.array(*[F.lit(PRIOR * x / (sum(pooled) or 1.0)) for x in pooled])
+    smooth = by_lang.select("char_lang", F.zip_with("char_sums", prior, lambda a, b: a + b).alias("ref_chars"))
+    judged = (
+        facts.join(of_language(smooth), F.col("lang").eqNullSafe(F.col("char_lang")), "left")
+        .join(of_language(learned.select("ref_lang", "ref_common")), same, "left")
+        .withColumns(
+            {
+                "char_distance": distance(F.col("char_counts"), F.col("ref_chars")),
+                "word_distance": F.coalesce(distance(F.col("common_counts"), F.col("ref_common")), F.lit(0.0)),
+            }
+        )
     )
     chars = F.aggregate("char_counts", F.lit(0.0), lambda s, v: s + v)
     alike = ((chars < least_chars) | (F.col("char_distance") <= most_char_distance)) & (
         (F.col("n_words") < least_words) | (F.col("word_distance") <= most_word_distance)
     )
     return judged.withColumn("kept", ~F.col("base_failed") & alike).drop(
-        "ref_lang", "ref_chars", "ref_common", "char_counts", "common_counts"
+        "ref_lang", "char_lang", "ref_chars", "ref_common", "char_counts", "common_counts"
     )

@@ -1,9 +1,11 @@
 import itertools
+import math
 import random
 import re
 import time
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from frameloom.llm import decontaminate, licenses, quality, urlrules
@@ -232,6 +234,64 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.rate_quality(docs.limit(0)).count() == 0
 
 
+def brute_quality(rows, limits=(0.25, 0.35)):
+    """Verdicts and distances by the definition, over (text, lang) rows."""
+    def pieces(t):
+        t = t or ""
+        classes = [sum(c in x for c in t) for x in quality.CLASSES.values()]
+        beyond = sum(ord(c) > 127 for c in t)
+        split = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", t.lower()).split(" ")
+        return [*classes, len(t) - sum(classes) - beyond, beyond], [x for x in split if x], brute_counts(t)
+
+    done = [(*pieces(t), lang) for t, lang in rows]
+    fails = [n < 10 or 100 * rest[3] > 20 * n for _, _, (n, *rest), _ in done]
+    langs = {lang for _, lang in rows}
+    counts = {k: Counter(x for _, w, _, lang in done if lang == k for x in w) for k in langs}
+    pool = sum(counts.values(), Counter())
+    chars = {k: np.array([c for (c, _, _, lang), bad in zip(done, fails) if lang == k and not bad] or [[0] * 8]).sum(axis=0) for k in langs}
+    all_chars = sum(chars.values())
+
+    def jsd(p, q):
+        p, q = np.array(p, float), np.array(q, float)
+        if not p.sum() or not q.sum():
+            return 0.0
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        return math.sqrt(max(0.0, sum((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum() for x in (p, q)) / 2))
+
+    out = []
+    for (c, w, (n, *_), lang), bad in zip(done, fails):
+        k = counts[lang]
+        top = sorted((x for x in k if k[x] * quality.RARE >= k.total()), key=lambda x: (-k[x], x.encode()))[: quality.TOP]
+        ref = [k[x] + quality.PRIOR * pool[x] / pool.total() for x in top]
+        mine = Counter(w)
+        own = [mine[x] for x in top]
+        words = jsd([*own, len(w) - sum(own)], [*ref, k.total() + quality.PRIOR - sum(ref)]) if top else 0.0
+        characters = jsd(c, chars[lang] + quality.PRIOR * all_chars / (all_chars.sum() or 1))
+        alike = (sum(c) < 200 or characters <= limits[0]) and (n < 50 or words <= limits[1])
+        out.append((characters, words, not bad and alike))
+    return out
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    rng = random.Random(17)
+    vocabulary = {k: ["".join(rng.choices(v, k=rng.randrange(1, 7))) for _ in range(60)] for k, v in (("en", "abcdefgh"), ("de", "mnopqrü"), (None, "uvwxyz"), ("rare", "abxyz"))}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(["en", "en", "de", None])
+        from_ = lang if rng.random() < 0.8 else rng.choice(list(vocabulary))
+        t = " ".join(rng.choice(vocabulary[from_][: rng.choice([8, 60])]) + rng.choice(["", "", ",", "!", "#"]) for _ in range(rng.randrange(0, 160)))
+        rows.append((t.upper() if rng.random() < 0.1 else t, lang))
+    rows += [("one short text of a rare language " * 9, "rare"), (None, "rare"), ("", "none"), ("#" * 900, "en"), ("é" * 20_000, "de")]
+    docs = spark.createDataFrame([(i, *x, "c") for i, x in enumerate(rows)], "doc_id long, text string, lang string, common string")
+    got = {r.doc_id: r for r in quality.rate_quality(docs).collect()}
+    want = brute_quality(rows)
+    assert len(got) == len(rows) and 40 < sum(k for _, _, k in want) < 220
+    for i, (characters, words, kept) in enumerate(want):
+        assert abs(got[i].char_distance - characters) < 1e-6 and abs(got[i].word_distance - words) < 1e-6
+        assert got[i].kept == kept
+
+
 def test_distance_of_known_histograms(spark):
     arrays = [([1.0, 0.0], [0.0, 5.0], 1.0), ([2.0, 2.0], [1.0, 1.0], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0)]
     df = spark.createDataFrame([(a, b) for a, b, _ in arrays], "p array<double>, q array<double>")
