@@ -2,7 +2,8 @@
 
 A document's histograms of character classes and of common words are compared
 with those of its language by Jensen-Shannon distance. The common words of a
-language are learned: its ``TOP`` most frequent ones, ties by code point. The
+language are learned: its ``TOP`` most frequent words, as written between white
+space, ties by code point. The
 reference histograms are sums over the language's documents (of characters, over
 those that pass the base rule), plus ``PRIOR`` characters or words that are spread
 as over all languages. So the little text of a rare language is drawn towards all
@@ -35,7 +36,6 @@ CLASSES = {
     "digit": "0123456789",
     "mark": "!?;:'\"()-",
 }
-GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 #: Common words of a language, and the prior of its histograms.
 TOP, PRIOR = 32, 10_000.0
 #: A word that is common has at least one in so many of its language's words.
@@ -89,16 +89,11 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
-def tokens(text: Column) -> Column:
-    """Words in lower case, without punctuation."""
-    return F.array_remove(F.split(F.translate(F.lower(text), GAPS, " " * len(GAPS)), " "), "")
-
-
 def common_words(docs: DataFrame) -> DataFrame:
     """(lang, common, ref_common) from rows (lang, text): the most frequent words
     of each language, and their smoothed counts, with that of all others last."""
     counts = written(
-        docs.select("lang", F.explode(tokens(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
+        docs.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
         "word-counts",
     )
     totals = written(counts.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
@@ -132,17 +127,18 @@ def measured(docs: DataFrame) -> DataFrame:
     beyond = F.length(F.regexp_replace(left, r"[\x00-\x7F]+", ""))
     counts += [F.length(left) - beyond, beyond]
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    common = F.coalesce("common", F.array().cast("array<string>"))
-    known = F.filter("t", lambda x: F.array_contains(common, x))
-    out = docs.withColumn("t", tokens(F.col("text"))).select(
+    # A language whose texts have no words has no list, and no histogram of it.
+    known = F.filter("w", lambda x: F.array_contains("common", x))
+    # Symbols are in none of the classes, so they are looked for in what those leave.
+    symbols = F.length(left) - F.length(F.translate(left, "#*$%&|<>", ""))
+    out = docs.withColumn("w", words(F.col("text"))).select(
         "doc_id",
         "lang",
-        words(F.col("text")).alias("w"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "w",
+        symbols.cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.array(*counts).cast("array<double>").alias("char_counts"),
-        F.size("t").alias("n_tokens"),
-        common.alias("common"),
+        "common",
         F.concat(F.lit("|"), F.array_join(known, "||"), F.lit("|")).alias("hits"),
     )
 
@@ -163,7 +159,6 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         "char_counts",
-        "n_tokens",
         F.transform("common", times).alias("times"),
         windows.alias("windows"),
     )
@@ -172,9 +167,9 @@ def measured(docs: DataFrame) -> DataFrame:
     out = out.withColumn("pairs", F.when(repeats, paired(F.col("windows")))).drop("windows")
     out = out.withColumn("places", repeated_places(F.col("pairs"))).drop("pairs")
     out = out.withColumn("n_repeat_words", F.coalesce(covered_words(F.col("places")), F.lit(0)).cast("long"))
-    others = F.col("n_tokens") - F.aggregate("times", F.lit(0.0), lambda s, x: s + x)
+    others = F.col("n_words") - F.aggregate("times", F.lit(0.0), lambda s, x: s + x)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumns({"common_counts": F.concat("times", F.array(others)), "base_failed": base}).drop("places", "times", "n_tokens")
+    return out.withColumns({"common_counts": F.coalesce(F.concat("times", F.array(others)), F.array().cast("array<double>")), "base_failed": base}).drop("places", "times")
 
 
 def rate_quality(

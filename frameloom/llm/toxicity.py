@@ -319,24 +319,30 @@ def _score(model: Model):
             surprise = np.array(surprises, float)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column(2),
                     batch.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(model.probability(surprise)),
                     pa.array(surprise),
                     pa.array(passages, _PASSAGES),
                 ],
-                names=["doc_id", "n_tokens", "score", "surprise", "passages"],
+                names=["carried", "doc_id", "n_tokens", "score", "surprise", "passages"],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document: id, n_tokens, score, surprise, and the significant
-    passages as byte ranges of the text with their scores."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _score(model), RESULT
-    )
+    passages as byte ranges of the text with their scores; ``carried`` is a struct
+    of the columns named in ``carry``, so that a row's score needs no join."""
+    carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), carried.alias("carried"))
+    kind = own.schema["carried"].dataType.simpleString()
+    scored = own.mapInArrow(_score(model), f"carried {kind}, {RESULT}")
+    return scored if carry else scored.drop("carried")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -344,10 +350,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def rate_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def rate_toxicity(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """Fit on the labels of documents that aren't held out; score all of them."""
     model = fit(docs, labels, train=~held_out(F.col("doc_id")), **options)
-    return score(docs, model).withColumns(
+    return score(docs, model, carry=carry).withColumns(
         {
             "held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(False)),
             "predicted": (F.col("score") >= 0.5).cast("int"),

@@ -240,8 +240,7 @@ def brute_quality(rows, limits=(0.25, 0.35)):
         t = t or ""
         classes = [sum(c in x for c in t) for x in quality.CLASSES.values()]
         beyond = sum(ord(c) > 127 for c in t)
-        split = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", t.lower()).split(" ")
-        return [*classes, len(t) - sum(classes) - beyond, beyond], [x for x in split if x], brute_counts(t)
+        return [*classes, len(t) - sum(classes) - beyond, beyond], re.findall(r"[^\x20\x09-\x0D]+", t), brute_counts(t)
 
     done = [(*pieces(t), lang) for t, lang in rows]
     fails = [n < 10 or 100 * rest[3] > 20 * n for _, _, (n, *rest), _ in done]
