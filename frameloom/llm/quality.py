@@ -21,6 +21,8 @@ repeated throughout take n log n steps, not a product.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ BROADCAST_LANGUAGES = 10_000
 WINDOW = 5
 
 
+def chained(a: str, b: str, by: int) -> Column:
+    """Of each place, one hash of its ``a`` and of the ``b`` that lies ``by`` later.
+    The last ``by`` places have nothing to meet and are to be cut by the caller."""
+    later = F.slice(b, by + 1, F.greatest(F.size(b), F.lit(1)))
+    return F.zip_with(a, later, lambda x, y: F.xxhash64(x, y))
+
+
 def paired(windows: Column) -> Column:
     """(hash, place) of each window, sorted, so that equal windows are neighbours."""
     return F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -90,8 +99,9 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, common, ref_common) from rows (lang, text): the most frequent words
-    of each language, and their smoothed counts, with that of all others last."""
+    """(lang, common, longest, ref_common) from rows (lang, text): the most frequent
+    words of each language, the bytes of the longest, and their smoothed counts, with
+    that of all others last."""
     counts = written(
         docs.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
         "word-counts",
@@ -112,56 +122,64 @@ def common_words(docs: DataFrame) -> DataFrame:
     return listed.select(
         "lang",
         F.transform("found", lambda x: x.word).alias("common"),
+        F.array_max(F.transform("found", lambda x: F.octet_length(x.word))).alias("longest"),
         F.concat(F.transform("found", lambda x: x.n), F.array(F.col("total") + PRIOR - known)).alias("ref_common"),
     )
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Counts and histograms of each row (doc_id, lang, text, common); no shuffle."""
-    left, counts = F.col("text"), []
-    # Each class is taken out of what is left, so every step reads less.
-    for characters in CLASSES.values():
-        rest = F.translate(left, characters, "")
-        counts.append(F.length(left) - F.length(rest))
-        left = rest
-    beyond = F.length(F.regexp_replace(left, r"[\x00-\x7F]+", ""))
-    counts += [F.length(left) - beyond, beyond]
+    """Counts and histograms of each row (doc_id, lang, text, common, longest); no shuffle."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # A language whose texts have no words has no list, and no histogram of it.
-    known = F.filter("w", lambda x: F.array_contains("common", x))
-    # Symbols are in none of the classes, so they are looked for in what those leave.
-    symbols = F.length(left) - F.length(F.translate(left, "#*$%&|<>", ""))
+    # Most words are longer than any common one and need no look at the list.
+    known = F.filter("w", lambda x: (F.octet_length(x) <= F.col("longest")) & F.array_contains("common", x))
     out = docs.withColumn("w", words(F.col("text"))).select(
         "doc_id",
         "lang",
-        "w",
-        symbols.cast("long").alias("n_symbols"),
+        F.length("text").alias("chars"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.array(*counts).cast("array<double>").alias("char_counts"),
+        F.size("w").alias("n"),
+        F.array_join("w", "").alias("solid"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
         "common",
         F.concat(F.lit("|"), F.array_join(known, "||"), F.lit("|")).alias("hits"),
     )
+    # What separates words is all white space. Each other class is taken out of
+    # what is left, so every step reads less.
+    left, counts = F.col("solid"), []
+    for name, characters in CLASSES.items():
+        if name == "space":
+            counts.append(F.col("chars") - F.length("solid"))
+            continue
+        rest = F.regexp_replace(left, f"[{re.escape(characters)}]+", "")
+        counts.append(F.length(left) - F.length(rest))
+        left = rest
+    beyond = F.length(F.regexp_replace(left, r"[\x00-\x7F]+", ""))
+    counts += [F.length(left) - beyond, beyond]
+    # Symbols are in none of the classes, so they are looked for in what those leave.
+    symbols = F.length(left) - F.length(F.translate(left, "#*$%&|<>", ""))
 
     def times(word: Column) -> Column:
         mark = F.concat(F.lit("|"), word, F.lit("|"))
         return (F.length("hits") - F.length(F.replace("hits", mark, F.lit("")))) / F.length(mark)
 
-    n = F.size("w")
-    windows = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # Hashes of one word, then of 2, 4 and 5 words from the same place on.
     out = out.select(
         "doc_id",
         "lang",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        "n_symbols",
+        F.col("n").cast("long").alias("n_words"),
+        F.length("solid").cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         "n_dup_lines",
-        "char_counts",
+        F.array(*counts).cast("array<double>").alias("char_counts"),
         F.transform("common", times).alias("times"),
-        windows.alias("windows"),
+        "n",
+        "h",
+        chained("h", "h", 1).alias("h2"),
     )
+    out = out.withColumn("h4", chained("h2", "h2", 2)).drop("h2")
+    whole = F.slice(chained("h4", "h", 4), 1, F.greatest(F.col("n") - (WINDOW - 1), F.lit(0)))
+    out = out.withColumn("windows", whole).drop("n", "h", "h4")
     # Most documents repeat no window, and only the others go on to sort them.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     out = out.withColumn("pairs", F.when(repeats, paired(F.col("windows")))).drop("windows")
@@ -193,7 +211,7 @@ def rate_quality(
     def of_language(references: DataFrame) -> DataFrame:
         return F.broadcast(references) if few else references
 
-    listed = own.join(of_language(learned.select("ref_lang", "common")), same, "left").drop("ref_lang")
+    listed = own.join(of_language(learned.select("ref_lang", "common", "longest")), same, "left").drop("ref_lang")
     facts = written(measured(listed), "quality")
 
     n_chars = len(CLASSES) + 2
