@@ -188,3 +188,25 @@ def test_own_modules_and_live_values(spark):
     assert run.frame.first().v__value.payload == "1"
     assert live.try_set("v", 2) is None
     assert compile_graph(graph, source, live=live).frame.first().v__value.payload == "2"
+
+
+def test_sums_widen_no_whole_batch(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    values = [rng.bytes(8 << 20), b"", None, *(rng.bytes(3000) for _ in range(2000))]
+    want = [int(np.frombuffer(v or b"", np.uint8).sum(dtype=np.int64)) for v in values]
+    batch = pa.array(values, pa.binary())
+    tracemalloc.start()
+    assert payloads._sums(batch).tolist() == want
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    small = pa.array([b"", b"abc", None, b"", b"x" * 20, b"\xff" * 7, b"", None, b"z"], pa.binary())
+    for at_once in (1, 2, 7, 30, 31):
+        monkeypatch.setattr(payloads, "AT_ONCE", at_once)
+        for cut in (small, small.slice(1), small.slice(2, 5), small.slice(3, 1), small.slice(9)):
+            assert payloads._sums(cut).tolist() == [sum(v or b"") for v in cut.to_pylist()]

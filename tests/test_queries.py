@@ -44,3 +44,8 @@ def test_entry_module_lists_them():
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.SQL) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_brightness_gate_measures_each_payload_once(spark, capsys):
+    queries.QUERIES["processor_brightness_gate"](spark, str(DATA)).explain()
+    assert capsys.readouterr().out.count("byte_sum(") == 1
