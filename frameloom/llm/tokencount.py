@@ -72,9 +72,16 @@ def _encode(path: str, version: str, at_once: int = 64):
     return run
 
 
-def shared_cache(spark: SparkSession) -> str:
-    """A cache in the shared scratch folder that outlives calls and sessions."""
-    return f"{scratch_root(spark)}/frameloom-token-cache"
+def shared_cache(spark: SparkSession, table_path: str | None = None) -> str:
+    """A cache in the shared scratch folder that outlives calls and sessions.
+
+    Each table has its own below it: a call reads its whole cache, and what that
+    takes must follow the table, not all that was ever counted beside it. So a
+    table is encoded once, then only what is new in it; texts that it shares with
+    other tables are encoded for each.
+    """
+    root = f"{scratch_root(spark)}/frameloom-token-cache"
+    return root if table_path is None else f"{root}/table={hashlib.sha256(table_path.encode()).hexdigest()}"
 
 
 def count_tokens(

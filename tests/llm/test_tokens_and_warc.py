@@ -55,6 +55,18 @@ def test_the_query_encodes_nothing_the_second_time(spark, tmp_path, monkeypatch)
     assert sorted(queries.op6_token_counts(spark, str(tmp_path)).collect()) == sorted(first)
 
 
+def test_a_table_reads_no_other_table_s_cache(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokencount, "scratch_root", lambda spark: str(tmp_path))
+    large = [(i, f"text {i}") for i in range(50)]
+    for name, rows in (("large", large), ("small", [(1, "text 1"), (2, "text 1"), (3, "more")])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    for name in ("large", "small", "small/", "large"):
+        got = queries.op6_token_counts(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == (50 if name == "large" else 3)
+        cached = spark.read.parquet(tokencount.shared_cache(spark)).groupBy("table").count().collect()
+        assert sorted(r["count"] for r in cached) in ([50], [2, 50])
+
+
 def test_the_cache_serves_hits_and_takes_misses(spark, tmp_path):
     path = str(tmp_path / "cache")
     docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
